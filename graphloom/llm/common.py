@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import math
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +50,16 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package also where the driver found it by its own sys.path."""
+    top = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if top not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and top not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), top) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
