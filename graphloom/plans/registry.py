@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import relational  # noqa: F401
+    from . import graphs, relational  # noqa: F401
