@@ -264,7 +264,7 @@ def connectivity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """SELECT cluster, count(*) AS members, CAST(sum(d) AS BIGINT) AS n_edges, round(sum(d) / (count(*) * (count(*) - 1)), 6) AS density, round(sum(m) / sum(d), 6) AS mutual_ratio, round(avg(d), 6) AS mean_degree, round(stddev_pop(d), 6) AS std_degree
+        """SELECT cluster, count(*) AS members, CAST(sum(d) AS BIGINT) AS n_edges, CASE WHEN count(*) > 1 THEN round(sum(d) / (count(*) * (count(*) - 1)), 6) ELSE 0 END AS density, CASE WHEN sum(d) > 0 THEN round(sum(m) / sum(d), 6) ELSE 0 END AS mutual_ratio, round(avg(d), 6) AS mean_degree, round(stddev_pop(d), 6) AS std_degree
 FROM (SELECT c.cluster, c.id, count(i.dst) AS d, count(b.src) AS m FROM c LEFT JOIN i ON i.src = c.id LEFT JOIN i b ON b.src = i.dst AND b.dst = i.src GROUP BY 1, 2) GROUP BY 1""",
         "typed",
         more=_CLUSTERS | {"i": "SELECT DISTINCT src, dst FROM e JOIN c x ON src = x.id JOIN c y ON dst = y.id WHERE x.cluster = y.cluster"},
