@@ -42,35 +42,41 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return rows.select("_key", "source_size", F.least("_cap", F.col("_level") * F.col("_w")).alias("target"))
 
 
+def _drawn(docs: DataFrame, id_col: str, source_col: str, size_col: str, weights, share: float, cap: float, seed: int) -> DataFrame:
+    """``docs`` with _gl_source_size, _gl_target and _gl_copies."""
+    n = buckets_for(docs.count())
+    hashed = F.xxhash64(F.lit(seed), F.col(id_col))
+    level = F.when(F.col(size_col) > 0, F.floor(4 * F.log2(F.col(size_col).cast("double")))).otherwise(F.lit(-1))
+    rows = docs.withColumns({"_gl_key": F.struct(F.col(source_col).alias("s")), "_gl_bucket": level * n + F.pmod(hashed, F.lit(n)), "_gl_hash": hashed, "_gl_one": F.lit(1).cast("long")})
+    by_source = rows.groupBy("_gl_key", "_gl_bucket").agg(F.sum(size_col).alias("_size")).groupBy("_gl_key").agg(F.sum("_size").alias("source_size"))
+    targets = source_targets(by_source.withColumnRenamed("_gl_key", "_key"), weights, share, cap).withColumnsRenamed({"_key": "_gl_key", "source_size": "_gl_source_size", "target": "_gl_target"})
+    ranked = exclusive_prefix(rows, "_gl_key", "_gl_bucket", ["_gl_hash", id_col, size_col], "_gl_one", "_gl_rank", more=targets)
+    rate = F.when(F.col("_gl_source_size") > 0, F.col("_gl_target") / F.col("_gl_source_size")).otherwise(F.lit(0.0))
+    offset = (F.pmod(F.xxhash64(F.lit(seed), F.col("_gl_key.s")), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    rank, rate_, offset_ = F.col("_gl_rank"), F.col("_gl_rate"), F.col("_gl_offset")
+    crossed = F.floor((rank + 1) * rate_ + offset_) - F.floor(rank * rate_ + offset_)
+    out = ranked.withColumns({"_gl_rate": rate, "_gl_offset": offset}).withColumn("_gl_copies", crossed.cast("long"))
+    return out.drop("_gl_key", "_gl_bucket", "_gl_hash", "_gl_one", "_gl_rank", "_gl_rate", "_gl_offset")
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """``docs`` with ``source_size``, ``target`` and ``copies`` (how often the mix emits the row).
 
     Rows are counted one by one, so repeated rows and repeated ids are sampled like any
     others; a null source is a source; rows of size 0 are emitted at their source's rate
-    and take no words. An empty table gives an empty table. Columns named ``source_size``,
-    ``target`` or ``copies`` in the input are replaced. The result depends on the rows'
-    ids, sizes and sources alone, not on how they are partitioned."""
-    docs = docs.drop("source_size", "target", "copies")
-    n = buckets_for(docs.count())
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    level = F.when(F.col(size_col) > 0, F.floor(4 * F.log2(F.col(size_col).cast("double")))).otherwise(F.lit(-1))
-    rows = docs.withColumns({"_key": F.struct(F.col(source_col).alias("s")), "_bucket": level * n + F.pmod(hashed, F.lit(n)), "_hash": hashed, "_one": F.lit(1).cast("long")})
-    by_source = rows.groupBy("_key", "_bucket").agg(F.sum(size_col).alias("_size")).groupBy("_key").agg(F.sum("_size").alias("source_size"))
-    targets = source_targets(by_source, weights, share, cap)
-    ranked = exclusive_prefix(rows, "_key", "_bucket", ["_hash", id_col, size_col], "_one", "_rank", more=targets)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = (F.pmod(F.xxhash64(F.lit(seed), F.col("_key.s")), F.lit(1 << 20)) + 0.5) / float(1 << 20)
-    crossed = F.floor((F.col("_rank") + 1) * F.col("_rate") + F.col("_offset")) - F.floor(F.col("_rank") * F.col("_rate") + F.col("_offset"))
-    out = ranked.withColumns({"_rate": rate, "_offset": offset}).withColumn("copies", crossed.cast("long"))
-    return out.drop("_key", "_bucket", "_hash", "_one", "_rank", "_rate", "_offset")
-
-
-def mixed(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is emitted, with the columns it came with."""
-    columns = docs.columns
-    sized = docs.withColumn("_size", n_words(F.col(text_col)))
-    drawn = copies(sized, size_col="_size", **options).where("copies > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)
+    and take no words. An empty table gives an empty table. Columns of these three names in
+    the input are replaced. The result depends on the rows' ids, sizes and sources alone,
+    not on how they are partitioned."""
+    names = ("source_size", "target", "copies")
+    drawn = _drawn(docs.drop(*names), id_col, source_col, size_col, weights, share, cap, seed)
+    return drawn.withColumnsRenamed({f"_gl_{n}": n for n in names})
+
+
+def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is emitted, with the columns it came with, whatever their names."""
+    sized = docs.withColumn("_gl_size", n_words(F.col(text_col)))
+    drawn = _drawn(sized, id_col, source_col, "_gl_size", weights, share, cap, seed).where("_gl_copies > 0")
+    return drawn.withColumn("_gl_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_gl_copies"))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "stats")
 def fit(rows: DataFrame, id_col: str = "doc_id", label_col: str = "quality", stats_col: str = "stats", sample: int = SAMPLE) -> Trees:
     """Trains on at most ``sample`` labelled rows (label 0 or 1), those of the smallest hashes of their ids."""
     drawn = rows.where(F.col(label_col).isin(0, 1)).orderBy(F.xxhash64(F.lit(9), F.col(id_col)), id_col).limit(sample).select(id_col, label_col, stats_col).toPandas()
-    x = np.array(drawn[stats_col].tolist(), np.float32).reshape(len(drawn), -1)
+    x = np.array(drawn[stats_col].tolist(), np.float32).reshape(len(drawn), len(NAMES))
     return train(x, drawn[label_col].to_numpy(np.float64))
 
 

@@ -95,9 +95,11 @@ def rule(docs: DataFrame, text_col: str = "text", host_col: str = "source", limi
     """``docs`` without its text, with the base counts, ``base_failed``, ``shared_words`` and ``kept``.
 
     Rows are judged one by one (repeated rows alike); a null host is a host of its own; a
-    null or empty text has no words and fails the base rules."""
+    null or empty text has no words and fails the base rules. Columns of the input that are
+    named like a result or a measure are replaced."""
     measured = with_measures(docs, text_col).withColumn("_row", F.monotonically_increasing_id())
-    keep = [c for c in docs.columns if c != text_col]
+    own = {f.strip().split(" ")[0] for f in _FIELDS.split(",")} | {"_row", "_host", "_m", "shared_words", "base_failed", "kept"}
+    keep = [c for c in docs.columns if c != text_col and c not in own]
     rows = written(measured.select(*keep, F.col(host_col).alias("_host"), "_row", "_m.*"), "measures")
     each = rows.select("_row", "text_hash", F.struct(F.col("_host").alias("h")).alias("host"), F.explode(F.arrays_zip("lines", "line_words")).alias("_l")).select("_row", "text_hash", "host", F.col("_l.lines").alias("line"), F.col("_l.line_words").alias("_words"))
     bad = written(shared_lines(each, limit), "shared-lines").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

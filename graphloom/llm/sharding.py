@@ -102,28 +102,28 @@ def reshard(docs: DataFrame, old_col: str, size_col: str, id_col: str = "doc_id"
         goes.append(F.array(*[F.lit(j).cast("int") for j in order or [0]]))
     n = buckets_for(docs.count())
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(size_col))
-    rows = docs.withColumns({"_hash": hashed, "_bucket": -F.floor(4 * F.log2(F.col(size_col).cast("double"))) * n + F.pmod(hashed, F.lit(n))})
-    placed = exclusive_prefix(rows, old_col, "_bucket", ["_hash", id_col], size_col, "_before")
+    rows = docs.withColumns({"_gl_hash": hashed, "_gl_bucket": -F.floor(4 * F.log2(F.col(size_col).cast("double"))) * n + F.pmod(hashed, F.lit(n))})
+    placed = exclusive_prefix(rows, old_col, "_gl_bucket", ["_gl_hash", id_col], size_col, "_gl_before")
     pick = F.col(old_col).cast("int") + 1
-    middle = 2 * F.col("_before") + F.col(size_col)
+    middle = 2 * F.col("_gl_before") + F.col(size_col)
     passed = F.size(F.filter(F.element_at(F.array(*cuts), pick), lambda cut: cut <= middle))
-    return placed.withColumn("shard", F.element_at(F.element_at(F.array(*goes), pick), passed + 1)).drop("_hash", "_bucket", "_before")
+    return placed.withColumn("shard", F.element_at(F.element_at(F.array(*goes), pick), passed + 1)).drop("_gl_hash", "_gl_bucket", "_gl_before")
 
 
 def slots(docs: DataFrame, shard_col: str = "shard", id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
     """``docs`` with ``slot``: the place in its shard, from 0 without gaps. ``docs`` is read twice."""
     n = buckets_for(docs.count())
     hashed = F.xxhash64(F.lit(seed + 1), F.col(id_col))
-    rows = docs.drop("slot").withColumns({"_hash": hashed, "_bucket": F.pmod(hashed, F.lit(n)), "_one": F.lit(1).cast("long")})
-    return exclusive_prefix(rows, shard_col, "_bucket", ["_hash", id_col], "_one", "slot").drop("_hash", "_bucket", "_one")
+    rows = docs.drop("slot").withColumns({"_gl_hash": hashed, "_gl_bucket": F.pmod(hashed, F.lit(n)), "_gl_one": F.lit(1).cast("long")})
+    return exclusive_prefix(rows, shard_col, "_gl_bucket", ["_gl_hash", id_col], "_gl_one", "slot").drop("_gl_hash", "_gl_bucket", "_gl_one")
 
 
 def rewrite(docs: DataFrame, old_col: str, out_dir: str, shards: int = NEW_SHARDS, **options) -> list[int]:
     """Writes anew, as ``out_dir/shard=N``, the shards whose rows change and returns their numbers; the others' files can stay.
 
     ``docs`` holds whole rows with ``text`` and ``old_col``; it is evaluated more than once."""
-    sized = docs.withColumn("_size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1)
-    placed = reshard(sized, old_col, "_size", shards=shards, **options).drop("_size")
+    sized = docs.withColumn("_gl_size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1)
+    placed = reshard(sized, old_col, "_gl_size", shards=shards, **options).drop("_gl_size")
     moved = placed.where(F.col(old_col) != F.col("shard")).groupBy(old_col, "shard").count().collect()  # at most old x new rows
     changed = sorted({r[0] for r in moved if r[0] < shards} | {r[1] for r in moved})
     placed.where(F.col("shard").isin(changed)).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("overwrite").partitionBy("shard").parquet(out_dir)
