@@ -186,7 +186,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 
 
 def test_parse_and_check_of_one_page():
-    blocks, _, _ = H.blocks_of(PAGE.format("n", "k"), None)
+    blocks, _ = H.blocks_of(PAGE.format("n", "k"), None)
     assert [t for _, t, ok in blocks if ok] == ["Title & k", "Lead k more", "Body <x> é k"]
     for bad in (None, "", "<", "<p", "a < b", "<!-- x", "<script>", "</p></p>", "<td>1<td>2"):
         H.blocks_of(bad, H.parse(bad)[0])
