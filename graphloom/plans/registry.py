@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import graphs, relational, scoring  # noqa: F401
+    from . import curation, graphs, relational, scoring  # noqa: F401
