@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import math
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -30,7 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder: lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
+    spark = prepared(df.sparkSession)
     path = f"{scratch_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
@@ -50,16 +51,30 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package also where the driver found it by its own sys.path."""
+#: For Python workers, which serve one stage after another: memory of large arrays goes back when they are freed.
+_WORKERS = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package also where the driver found it by its own sys.path, and bounds their memory.
+
+    Arrow batches are bounded by bytes, since a text can be as long as a thousand others;
+    a smaller bound that the session has stays."""
     top = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if top not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and top not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), top) if x)
+    for name, value in _WORKERS.items():
+        if name not in os.environ:
+            env.setdefault(name, value)
+    if int(re.sub(r"\D", "", spark.conf.get(_ARROW_BYTES)) or 0) > 8 << 20:
+        spark.conf.set(_ARROW_BYTES, str(8 << 20))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,21 +9,23 @@ sample calibrates the probabilities.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, table
 
 BITS = 14
-PER_LANGUAGE = 1200
+PER_LANGUAGE = 600
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 UNKNOWN = "und"
 _CHUNK = 1 << 18
+_DRAWS = 1 << 30
 _lut: np.ndarray | None = None
 
 
@@ -155,9 +157,15 @@ def fit(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     learn = learn.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     df, n = document_frequencies(learn, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
+    sizes = learn.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
+    if not sizes:
+        return Model([], idf, np.zeros(((1 << BITS) + 1, 0)), 1.0)
+    # twice the sample by hash first, so that ranks are only taken among a bounded number of rows
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(_DRAWS, math.ceil(2 * per_language * _DRAWS / r[1])))]), F.col(lang_col))
     drawn = F.xxhash64(F.lit(3), F.col(id_col))
     order = Window.partitionBy(lang_col).orderBy("_h", id_col)
-    ids = learn.select(id_col, lang_col, drawn.alias("_h")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language)
+    few = learn.select(id_col, lang_col, drawn.alias("_h")).where(F.pmod(F.xxhash64(F.lit(4), F.col(id_col)), F.lit(_DRAWS)) < share)
+    ids = few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language)
     picked = learn.select(id_col, lang_col, text_col).join(F.broadcast(ids.select(id_col, lang_col, F.pmod("_h", F.lit(5)).alias("_part"))), [id_col, lang_col])
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,15 +186,21 @@ def fit(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return Model(langs, idf, weights, temperature(logits, y[apart]))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; the text alone decides."""
+def guesses(model: Model, text_col: str = "text") -> Column:
+    """A struct (lang, score) of each text; the text alone decides."""
 
     @F.pandas_udf("lang string, score double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["lang", "score"])
 
-    return docs.withColumn("_p", of(F.col(text_col))).withColumns({"lang_pred": F.col("_p.lang"), "score": F.col("_p.score")}).drop("_p")
+    return of(F.col(text_col))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
+    rows = docs.drop("lang_pred", "score").withColumn("_gl_guess", guesses(model, text_col))
+    return rows.withColumns({"lang_pred": F.col("_gl_guess.lang"), "score": F.col("_gl_guess.score")}).drop("_gl_guess")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

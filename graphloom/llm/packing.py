@@ -26,14 +26,15 @@ WINDOW = 4096
 UNIT = 32
 DEPTH = 4
 END_ID = 2
-GROUP = 2048
+GROUP = 256
 VOCABULARY = "word_bpe_49k.json"
 _RESIDUAL = 1 << 50
-_MOST_WORDS = 400_000
+_MOST_WORDS = 250_000
 
 
 #: How the vocabulary's file splits what it has lower-cased, for printable ASCII and the letters of Latin-1.
-_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_RUNS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+_END = b"\xff\xff\xff\xff"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: Bytes as the characters that byte-level merges are written in: printable ones stand for themselves, the others for 256 and on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -53,33 +54,33 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _run(self, run: str) -> bytes:
-        got = self.runs.get(run)
-        if got is None:
-            own = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
-            got = self.runs[run] = b"".join([x.id.to_bytes(4, "little") for x in self.merge(own)])
-        return got
+        self.runs: dict[str, bytes] = {"\n": _END}
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) > _MOST_WORDS:
             self.known = {w: self.known[w] for w in words if w in self.known}
         if len(self.runs) > _MOST_WORDS:
-            self.runs.clear()
-        known, other = self.known, []
-        for w in words - known.keys():
-            text = w.decode()
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                low = text.lower()
-                known[w] = self._run(low) if low.isalpha() else b"".join(map(self._run, _RUNS.findall(low)))
-            else:
-                other.append(w)
+            self.runs = {"\n": _END}
+        new, plain, other = words - self.known.keys(), [], []
+        for w in new:
+            (plain if _PLAIN.fullmatch(w.decode()) and b"<|" not in w else other).append(w)
+        if plain:  # all their runs at once, line by line; the mark between lines is no id's bytes, aligned or not
+            runs = _RUNS.findall(b"\n".join(plain).decode().lower())
+            merge, bytes_ = self.merge, self.bytes
+            for run in set(runs) - self.runs.keys():
+                own = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
+                self.runs[run] = b"".join([bytes_[x.id] for x in merge(own)])
+            self.known.update(zip(plain, b"".join(map(self.runs.__getitem__, runs)).split(_END), strict=True))
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def forget(self) -> None:
+        """Gives the memory of words back: the worker goes on to other stages."""
+        self.known, self.runs = {}, {"\n": _END}
 
     def many(self, texts: list[str | None], end: int = END_ID) -> Iterator[np.ndarray]:
         """The ids of each text, and the end id; a null text is empty."""
@@ -118,14 +119,16 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     @F.pandas_udf(schema)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = tokens(path)
         for batch in texts:
             out = []
-            for ids in tokens(path).many(batch.tolist()):
+            for ids in own.many(batch.tolist()):
                 lengths = cut(len(ids), window)
                 starts = [0, *np.cumsum(lengths)[:-1].tolist()]
                 raw = [ids[s : s + n].tobytes() for s, n in zip(starts, lengths, strict=True)]
                 out.append((starts, lengths, [zlib.crc32(x) for x in raw], len(ids)) + ((raw,) if with_ids else ()))
             yield pd.DataFrame(out, columns=["start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+        own.forget()
 
     fields = ["start", "length", "ids_crc32"] + ["ids"] * with_ids
     rows = docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("_t"))
