@@ -9,7 +9,7 @@ near the target, since every class is sampled at the same rate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buckets_for, exclusive_prefix, n_words, table, written
@@ -42,17 +42,24 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return rows.select("_key", "source_size", F.least("_cap", F.col("_level") * F.col("_w")).alias("target"))
 
 
+def _hash(seed: int, text: Column) -> Column:
+    """48 bits of an md5, which SQL engines agree on."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 12), 16, 10).cast("long")
+
+
 def _drawn(docs: DataFrame, id_col: str, source_col: str, size_col: str, weights, share: float, cap: float, seed: int) -> DataFrame:
     """``docs`` with _gl_source_size, _gl_target and _gl_copies."""
     n = buckets_for(docs.count())
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    level = F.when(F.col(size_col) > 0, F.floor(4 * F.log2(F.col(size_col).cast("double")))).otherwise(F.lit(-1))
+    hashed = _hash(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    binary = F.bin(F.col(size_col))
+    quarter = F.conv(F.rpad(F.substring(binary, 2, 2), 2, "0"), 2, 10).cast("long")  # size classes: four for each doubling
+    level = F.when(F.col(size_col) > 0, 4 * F.length(binary) + quarter).otherwise(F.lit(0))
     rows = docs.withColumns({"_gl_key": F.struct(F.col(source_col).alias("s")), "_gl_bucket": level * n + F.pmod(hashed, F.lit(n)), "_gl_hash": hashed, "_gl_one": F.lit(1).cast("long")})
     by_source = rows.groupBy("_gl_key", "_gl_bucket").agg(F.sum(size_col).alias("_size")).groupBy("_gl_key").agg(F.sum("_size").alias("source_size"))
     targets = source_targets(by_source.withColumnRenamed("_gl_key", "_key"), weights, share, cap).withColumnsRenamed({"_key": "_gl_key", "source_size": "_gl_source_size", "target": "_gl_target"})
     ranked = exclusive_prefix(rows, "_gl_key", "_gl_bucket", ["_gl_hash", id_col, size_col], "_gl_one", "_gl_rank", more=targets)
     rate = F.when(F.col("_gl_source_size") > 0, F.col("_gl_target") / F.col("_gl_source_size")).otherwise(F.lit(0.0))
-    offset = (F.pmod(F.xxhash64(F.lit(seed), F.col("_gl_key.s")), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    offset = (F.pmod(_hash(seed, F.coalesce(F.col("_gl_key.s").cast("string"), F.lit(""))), F.lit(1 << 20)) + 0.5) / float(1 << 20)
     rank, rate_, offset_ = F.col("_gl_rank"), F.col("_gl_rate"), F.col("_gl_offset")
     crossed = F.floor((rank + 1) * rate_ + offset_) - F.floor(rank * rate_ + offset_)
     out = ranked.withColumns({"_gl_rate": rate, "_gl_offset": offset}).withColumn("_gl_copies", crossed.cast("long"))
@@ -83,3 +90,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     drawn = copies(written(docs, "mix"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+#: For tables of up to 65,536 rows, where every class has 16 buckets.
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)]::DOUBLE AS w FROM d GROUP BY 1),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap FROM s),
+v AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM v) * w) AS target,
+    (CAST('0x' || substr(md5('{SEED}:' || coalesce(source, '')), 1, 12) AS BIGINT) % 1048576 + 0.5::DOUBLE) / 1048576 AS u FROM v),
+h AS (SELECT *, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS hash, rpad(substr(bin(size), 2, 2), 2, '0') AS q FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (CASE WHEN size > 0 THEN 4 * length(bin(size)) + CASE q WHEN '00' THEN 0 WHEN '01' THEN 1 WHEN '10' THEN 2 ELSE 3 END ELSE 0 END) * 16 + hash % 16, hash, doc_id NULLS FIRST, size) - 1 AS rank FROM h),
+x AS (SELECT r.doc_id, r.size, t.source_size, t.target, t.u, r.rank, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, CAST(floor((rank + 1) * rate + u) - floor(rank * rate + u) AS BIGINT) AS copies FROM x)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM y
+"""

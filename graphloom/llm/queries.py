@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": topk.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op3_topk_search": topk.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
