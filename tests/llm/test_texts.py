@@ -60,6 +60,15 @@ def test_passages_part_what_is_not_similar_as_a_whole():
     assert substring.passages(a, b, [], 5, 50, 0.8) == [] and substring.passages(a[:0], b, [0], 5, 50, 0.8) == []
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12)), max_size=10))
+def test_cover_covers_all_with_few(spans):
+    words = lambda xs: {w for s, n in xs for w in range(s, s + n)}
+    got = substring.cover(spans)
+    assert words(got) == words(spans) and set(got) <= set(spans)
+    assert all(words([x for x in got if x is not y]) != words(spans) for y in got)
+
+
 def test_without_cuts_words():
     assert substring.without("a b  c d\ne", [(1, 2)]) == "a d\ne"
     assert substring.without("a b", [(0, 9)]) == "" and substring.without("", [(0, 1)]) == "" and substring.without(" a b", [(1, 1)]) == " a "
