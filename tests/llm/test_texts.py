@@ -60,6 +60,25 @@ def test_passages_part_what_is_not_similar_as_a_whole():
     assert substring.passages(a, b, [], 5, 50, 0.8) == [] and substring.passages(a[:0], b, [0], 5, 50, 0.8) == []
 
 
+def test_passages_keep_the_longest_similar_part_and_all_open_chains():
+    def runs(*lengths):  # runs of equal tokens with five others between, as after an edit of one word
+        own, other, n = [], [], 0
+        for x in lengths:
+            own += [*range(n, n + x), *range(10_000 + n, 10_005 + n)]
+            other += [*range(n, n + x), *range(20_000 + n, 20_005 + n)]
+            n += x
+        return np.array(own, np.uint64), np.array(other, np.uint64)
+
+    a, b = runs(44, 44, 6, 6, 6, 6)
+    assert substring.passages(a, b, [0], 5, 50, 0.8) == [(0, 108, 0, 108, 94 / 114)]
+    # twelve repeats elsewhere in b of tokens in the passage's gap start chains between its two runs
+    own = np.concatenate([np.arange(44), np.arange(500, 512), np.arange(44, 88)]).astype(np.uint64)
+    other = np.concatenate([np.arange(44), np.arange(600, 612), np.arange(44, 88)] + [[900 + i, 500 + i, 950 + i] for i in range(12)]).astype(np.uint64)
+    at = {int(x): i for i, x in enumerate(other)}
+    diagonals = [0, *[at[500 + i] - 44 - i for i in range(12)]]
+    assert (0, 104) in [x[:2] for x in substring.passages(own, other, diagonals, 5, 50, 0.75)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12)), max_size=10))
 def test_cover_covers_all_with_few(spans):
