@@ -184,6 +184,16 @@ def test_substrings(docs, none, rows):
     assert substring.repeats(none).count() == 0 and substring.removed(none, substring.repeats(none)).count() == 0
 
 
+def test_a_longer_match_does_not_hide_another(spark):
+    w = [f"w{i}" for i in range(100)]
+    rows = [(3, " ".join(w)), (7, " ".join([*(f"x{i}" for i in range(30)), *w[20:80]])), (9, " ".join([*w[:50], "y", *w[51:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.match_doc_id, r.start, r.n_words) for r in substring.repeats(df).collect()}
+    assert found == {(7, 3, 30, 60), (9, 3, 0, 100), (9, 7, 20, 60)}
+    cut = {r.doc_id: r.text for r in substring.removed(df, substring.repeats(df)).collect()}
+    assert cut == {3: rows[0][1], 7: " ".join(f"x{i}" for i in range(30)) + " "}
+
+
 def test_packing(docs, none):
     got = packing.packed(docs, with_ids=True).toPandas()
     import zlib
