@@ -194,6 +194,24 @@ def test_a_longer_match_does_not_hide_another(spark):
     assert cut == {3: rows[0][1], 7: " ".join(f"x{i}" for i in range(30)) + " "}
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_filled_in_templates_meet_every_earlier_filling(spark, monkeypatch, block):
+    rng = random.Random(5)
+    template, rows, fillings = [f"t{i}" for i in range(60)], [], []
+    for i in range(60):
+        filling = tuple(rng.randrange(4) for _ in range(3))
+        notice = list(template)
+        for place, x in zip((15, 30, 45), filling, strict=True):
+            notice[place] = f"fill{place}x{x}"
+        fillings.append(filling)
+        rows.append((i, " ".join([*(f"a{i}x{j}" for j in range(40)), *notice, *(f"b{i}x{j}" for j in range(40))])))
+    monkeypatch.setattr(substring, "BLOCK", block, raising=False)
+    got = {(r.doc_id, r.match_doc_id) for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.start <= 40 and r.start + r.n_words >= 100}
+    equal = {(i, j) for i in range(60) for j in range(i) if fillings[i] == fillings[j]}
+    near = {(i, j) for i in range(60) for j in range(i) if sum(x == y for x, y in zip(fillings[i], fillings[j], strict=True)) >= 2}  # 0.836 or 1
+    assert equal <= got <= near and len(got) >= 0.9 * len(near)
+
+
 def test_packing(docs, none):
     got = packing.packed(docs, with_ids=True).toPandas()
     import zlib
