@@ -274,6 +274,13 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_names_around_the_most_varied_slot_drop_nothing(spark):
+    page = '<html><body><form><div class="layout has-sidebar"><nav><a>Home {i}</a></nav><div class="text"><p>A long text of page {i}</p><div class="share"><p>Share {i}</p></div></div><div class="sidebar"><p>See {i}</p></div></div></form></body></html>'
+    pages = [(i, "http://site.example/x", page.format(i=i)) for i in range(12)] + [(20, "http://one.example/", page.format(i=20))]
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"A long text of page {i}" for i in [*range(12), 20]}
+
+
 def test_stages_take_clashing_columns_and_empty_tables(spark, docs, none):
     import corpus_pipeline
 
