@@ -10,9 +10,12 @@ pieces of its length, which a distributed prefix count gives.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -26,71 +29,105 @@ WINDOW = 4096
 UNIT = 32
 DEPTH = 4
 END_ID = 2
-GROUP = 256
+#: Windows of tokens that one group of the greedy rest holds.
+GROUP = 64
 VOCABULARY = "word_bpe_49k.json"
 _RESIDUAL = 1 << 50
-_MOST_WORDS = 250_000
+#: Words of a generation.
+_MOST_WORDS = 200_000
 
 
-#: How the vocabulary's file splits what it has lower-cased, for printable ASCII and the letters of Latin-1.
+#: How the vocabulary's file splits what it has lower-cased, for printable ASCII, its white space and the letters of Latin-1.
 _RUNS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _END = b"\xff\xff\xff\xff"
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The steps before the merges that this holds for, as the library writes them; a file with others goes through the library whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITS = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Bytes as the characters that byte-level merges are written in: printable ones stand for themselves, the others for 256 and on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+#: Stands behind a word's last byte for the vocabulary's end of a word: no byte of UTF-8.
+_LAST = b"\xff"
+
+
+def _merges(path: str, tokenizer) -> Callable[[bytes], list[int]] | None:
+    """Ids of one run, its bytes and ``_LAST``, by merges in the order of ids; none where the file's normaliser, splits, special tokens or merges are others."""
+    import tiktoken
+
+    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    model, special = found["model"], [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    if found["normalizer"] != _NORMALIZER or found["pre_tokenizer"] != _SPLITS or not all(x.startswith("<|") for x in special) or any(model.get(k) != v for k, v in plain.items()):
+        return None
+    of = {chr(c): b for b, c in _BYTES.items()} | {chr(b): b for b in _PRINTABLE}
+    ranks = {}
+    for token, i in model["vocab"].items():
+        if token not in special:
+            ends = token.endswith("</w>")
+            ranks[bytes(of[c] for c in (token[:-4] if ends else token)) + _LAST * ends] = i
+    units = {bytes([b]) + end for b in range(256) for end in (b"", _LAST)}
+    made = [model["vocab"].get("".join(x if isinstance(x, list) else x.split(" ")), -1) for x in model["merges"]]
+    if {x for x, i in ranks.items() if i < 512} != units or made != list(range(512, 512 + len(made))):
+        return None
+    return tiktoken.Encoding("runs", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Tokens:
     """Token ids of whole texts, with a bounded memory of what words become.
 
     The vocabulary's splits never join what ASCII white space parts, so a text's ids are
-    those of its white-space words one after the other. Words of printable ASCII and Latin-1
-    letters go straight to the tokenizer's merges, run by run; all others through the whole
-    tokenizer."""
+    those of its white-space words one after the other. Words of texts in printable ASCII and
+    Latin-1 letters are merged run by run, as bytes; other texts, texts that
+    may hold a special token, and files of other normalisers or splits go through the whole
+    tokenizer. Memory has two generations: words that a block needs move to the young one,
+    and when that is full the old one goes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
-        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"\n": _END}
+        self.merged = _merges(path, self.tokenizer)
+        self.known: dict[str, bytes] = {"\n": _END}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[str]) -> None:
         if len(self.known) > _MOST_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        if len(self.runs) > _MOST_WORDS:
-            self.runs = {"\n": _END}
-        new, plain, other = words - self.known.keys(), [], []
-        for w in new:
-            (plain if _PLAIN.fullmatch(w.decode()) and b"<|" not in w else other).append(w)
-        if plain:  # all their runs at once, line by line; the mark between lines is no id's bytes, aligned or not
-            runs = _RUNS.findall(b"\n".join(plain).decode().lower())
-            merge, bytes_ = self.merge, self.bytes
-            for run in set(runs) - self.runs.keys():
-                own = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
-                self.runs[run] = b"".join([bytes_[x.id] for x in merge(own)])
-            self.known.update(zip(plain, b"".join(map(self.runs.__getitem__, runs)).split(_END), strict=True))
-        for at in range(0, len(other), 4096):
-            part = other[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def forget(self) -> None:
-        """Gives the memory of words back: the worker goes on to other stages."""
-        self.known, self.runs = {}, {"\n": _END}
+            self.known, self.old = {"\n": _END}, self.known
+        known, old = self.known, self.old
+        words = [w for w in words if w not in known]
+        new, mixed = [], []
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+            elif w.isalpha():
+                new.append(w)
+            else:
+                mixed.append(w)
+        runs = _RUNS.findall("\n".join(mixed))
+        for run in [*new, *(run for run in set(runs) if run not in known)]:
+            known[run] = array("I", self.merged(run.encode() + _LAST)).tobytes()
+        if mixed:  # the mark between words is no id's bytes, aligned or not
+            known.update(zip(mixed, b"".join(map(known.__getitem__, runs)).split(_END), strict=True))
 
     def many(self, texts: list[str | None], end: int = END_ID) -> Iterator[np.ndarray]:
         """The ids of each text, and the end id; a null text is empty."""
         last = np.array([end], "<u4").tobytes()
         texts = [t or "" for t in texts]
         for first, stop in blocks(texts, 1 << 20):
-            split = [t.encode("utf-8", "replace").split() for t in texts[first:stop]]
-            self._learn(set().union(*split))
+            part = texts[first:stop]
+            plain = [self.merged is not None and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in part]
+            split = [t.lower().split() if p else None for t, p in zip(part, plain, strict=True)]
+            self._learn(set().union(*(x for x in split if x is not None)))
+            whole = [t.encode("utf-8", "replace").decode() for t, p in zip(part, plain, strict=True) if not p]
+            other = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
             for words in split:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, words)) + last, "<u4")
+                if words is None:
+                    yield np.array([*next(other).ids, end], "<u4")
+                else:
+                    yield np.frombuffer(b"".join(map(self.known.__getitem__, words)) + last, "<u4")
 
 
 _tokens: dict[str, Tokens] = {}
@@ -113,6 +150,11 @@ def cut(n: int, window: int = WINDOW) -> list[int]:
     return pieces + [left] * (left > 0)
 
 
+def trimmed(n: int, window: int = WINDOW, unit: int = UNIT) -> list[int]:
+    """``cut``, with a rest in two: whole units, which fill windows without a gap, and what is left."""
+    return [x for p in cut(n, window) for x in (p - p % unit, p % unit) if x]
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """Rows (id, start, length, ids_crc32, doc_tokens) and, if asked for, ``ids``: little-endian 32-bit ids of the piece. A null text is empty and has the end id alone."""
     schema = f"start array<long>, length array<long>, ids_crc32 array<long>, doc_tokens long{', ids array<binary>' if with_ids else ''}"
@@ -123,12 +165,11 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in texts:
             out = []
             for ids in own.many(batch.tolist()):
-                lengths = cut(len(ids), window)
+                lengths = trimmed(len(ids), window)
                 starts = [0, *np.cumsum(lengths)[:-1].tolist()]
                 raw = [ids[s : s + n].tobytes() for s, n in zip(starts, lengths, strict=True)]
                 out.append((starts, lengths, [zlib.crc32(x) for x in raw], len(ids)) + ((raw,) if with_ids else ()))
             yield pd.DataFrame(out, columns=["start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
-        own.forget()
 
     fields = ["start", "length", "ids_crc32"] + ["ids"] * with_ids
     rows = docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("_t"))
@@ -243,16 +284,17 @@ def pack(cut_pieces: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: i
     ``cut_pieces`` is read several times: pass a written table with doc_id, start, length,
     ids_crc32 (and what else shall come along). Repeated rows are pieces of their own; null
     ids are packed like others; no pieces give no rows."""
-    sizes = F.ceil(F.col("length") / F.lit(unit)).cast("long")
-    hashed = F.xxhash64(F.lit(seed), "doc_id", "start")
+    sizes = F.when(F.col("length") % unit == 0, F.col("length") / F.lit(unit)).otherwise(0).cast("long")  # 0: what no whole units hold is packed greedily
+    hashed = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), "start", "length", "ids_crc32")
     n = buckets_for(cut_pieces.count())
     rows = cut_pieces.withColumns({"_size": sizes, "_hash": hashed, "_bucket": F.pmod(hashed, F.lit(n)), "_one": F.lit(1).cast("long")})
-    histogram = {r[0]: r[1] for r in rows.groupBy("_size").count().collect()}  # at most window / unit rows
+    totals = rows.groupBy("_size").agg(F.count(F.lit(1)), F.sum("length")).collect()  # at most window / unit rows
+    histogram = {r[0]: r[1] for r in totals if r[0]}
     ranked = exclusive_prefix(rows, "_size", "_bucket", ["_hash", "doc_id", "start", "length", "ids_crc32"], "_one", "_rank")
     spots = places(plan(histogram, window // unit, depth))
     table_ = sorted(spots)
-    kept = sum(end - start for _, start, end, _, _ in spots)
-    groups = max(1, -(-(sum(histogram.values()) - kept) // GROUP))
+    kept = sum((end - start) * size * unit for size, start, end, _, _ in spots)
+    groups = max(1, -(-(sum(r[2] for r in totals) - kept) // (GROUP * window)))
     lows = np.array([[u, start, end, sequence, slot] for u, start, end, sequence, slot in table_], np.int64).reshape(-1, 5)
 
     @F.pandas_udf("sequence long, slot int")
