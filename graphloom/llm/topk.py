@@ -44,7 +44,7 @@ def _matrix(rows: list, width: int) -> np.ndarray:
 
 def _best(k: int):
     def best(cands: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"_query": [], "query_id": [], "vec_id": [], "score": []}
         if len(cands) and len(queries):
             cands = cands.sort_values("vec_id", kind="stable")
             ids = cands["vec_id"].to_numpy()
@@ -53,7 +53,7 @@ def _best(k: int):
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
                 scores = _accumulate(_matrix(part["_v"].tolist(), width), matrix).astype(np.int64)
-                for q, row in zip(part["vec_id"].to_numpy(), scores, strict=True):
+                for key, q, row in zip(part["_query"].to_numpy(), part["vec_id"].to_numpy(), scores, strict=True):
                     own = ids == q
                     n = len(ids) - int(own.sum())
                     if not n:
@@ -66,6 +66,7 @@ def _best(k: int):
                     else:
                         keep = np.flatnonzero(~own)
                     keep = keep[np.lexsort((ids[keep], -row[keep]))][:k]
+                    out["_query"] += [key] * len(keep)
                     out["query_id"] += [q] * len(keep)
                     out["vec_id"] += ids[keep].tolist()
                     out["score"] += row[keep].tolist()
@@ -77,17 +78,26 @@ def _best(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """For each query its k best candidates: query_id, rank, vec_id, score.
 
-    Both tables hold ``vec_id`` and ``_v``, an array of integers below 2**26 in size; shorter
-    arrays count as padded with zeros. A query's own id is no candidate of its. Equal scores go
-    to the smaller id; a repeated candidate row is a candidate each time. No rows give no rows."""
+    Both tables hold ``vec_id`` and ``_v``, an array of integers; shorter arrays count as padded
+    with zeros. A query's own id is no candidate of its, whatever row holds it; equal rows of the
+    queries are one query, and different vectors under one id are one query each, told apart by
+    their ranks only. Equal scores go to the smaller id; a repeated candidate row is a candidate
+    each time. No rows give no rows. Components so large that a score could pass 64 bits raise a
+    ValueError."""
+    queries = queries.select("vec_id", "_v").distinct()
+    limits = [df.agg(F.max(F.array_max(F.transform("_v", lambda c: F.abs(c)))), F.max(F.size("_v"))).first() for df in (vectors, queries)]
+    (big, wide), (most, width) = ((int(r[0] or 0), int(r[1] or 0)) for r in limits)
+    if big * most * max(wide, width) >= 1 << 62:
+        raise ValueError("components too large: a score could pass 64 bits")
+    queries = queries.withColumn("_query", F.xxhash64("vec_id", "_v"))
     n, m = vectors.count(), queries.count()
     nc, nq = max(1, math.ceil(n / candidate_block)), max(1, math.ceil(m / query_block))
-    block = lambda blocks: F.pmod(F.xxhash64(F.lit(11), F.col("vec_id")), F.lit(blocks))
+    block = lambda blocks, of: F.pmod(F.xxhash64(F.lit(11), of), F.lit(blocks))
     all_ = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    cands = vectors.select("vec_id", "_v", block(nc).alias("_c"), all_(nq).alias("_q"))
-    asked = queries.select("vec_id", "_v", all_(nc).alias("_c"), block(nq).alias("_q"))
-    found = cands.groupBy("_c", "_q").cogroup(asked.groupBy("_c", "_q")).applyInPandas(_best(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    cands = vectors.select("vec_id", "_v", block(nc, F.monotonically_increasing_id()).alias("_c"), all_(nq).alias("_q"))  # rows of one id part as well
+    asked = queries.select("_query", "vec_id", "_v", all_(nc).alias("_c"), block(nq, F.col("_query")).alias("_q"))
+    found = cands.groupBy("_c", "_q").cogroup(asked.groupBy("_c", "_q")).applyInPandas(_best(k), "_query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("_query").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -109,8 +119,8 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
      s AS (SELECT a.vec_id AS query_id, b.vec_id,
-                  CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-           FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+                  CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score, a.q
+           FROM (SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 """
