@@ -83,11 +83,13 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def reshard(docs: DataFrame, old_col: str, size_col: str, id_col: str = "doc_id", capacities: list[int] | None = None, shards: int = NEW_SHARDS, cost=None, seed: int = SEED) -> DataFrame:
+def reshard(docs: DataFrame, old_col: str, size_col: str, id_col: str = "doc_id", capacities: list[int] | None = None, shards: int = NEW_SHARDS, cost=None, seed: int = SEED, tie_cols: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``shard``, the new shard of each row. Sizes are positive, old shards run from 0.
 
-    Equal rows may part; a row goes where the middle of its bytes falls. ``docs`` is read
-    three times; pass a written table. An empty table stays empty."""
+    Equal rows may part; a row goes where the middle of its bytes falls. Rows are told apart by
+    id, size and ``tie_cols``; those that are equal in all of them may swap places. Null ids are
+    spread by the rest. ``docs`` is read three times; pass a written table. An empty table stays
+    empty."""
     docs = docs.drop("shard")
     old = {r[0]: r[1] for r in docs.groupBy(old_col).agg(F.sum(size_col)).collect()}  # a row per shard
     if not old:
@@ -101,32 +103,46 @@ def reshard(docs: DataFrame, old_col: str, size_col: str, id_col: str = "doc_id"
         cuts.append(F.array(*[F.lit(2 * x).cast("long") for x in ends[:-1]]) if len(ends) > 1 else F.array().cast("array<bigint>"))
         goes.append(F.array(*[F.lit(j).cast("int") for j in order or [0]]))
     n = buckets_for(docs.count())
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(size_col))
+    hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(size_col), *[F.col(c) for c in tie_cols])
     rows = docs.withColumns({"_gl_hash": hashed, "_gl_bucket": -F.floor(4 * F.log2(F.col(size_col).cast("double"))) * n + F.pmod(hashed, F.lit(n))})
-    placed = exclusive_prefix(rows, old_col, "_gl_bucket", ["_gl_hash", id_col], size_col, "_gl_before")
+    placed = exclusive_prefix(rows, old_col, "_gl_bucket", ["_gl_hash", id_col, *tie_cols], size_col, "_gl_before")
     pick = F.col(old_col).cast("int") + 1
     middle = 2 * F.col("_gl_before") + F.col(size_col)
     passed = F.size(F.filter(F.element_at(F.array(*cuts), pick), lambda cut: cut <= middle))
     return placed.withColumn("shard", F.element_at(F.element_at(F.array(*goes), pick), passed + 1)).drop("_gl_hash", "_gl_bucket", "_gl_before")
 
 
-def slots(docs: DataFrame, shard_col: str = "shard", id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """``docs`` with ``slot``: the place in its shard, from 0 without gaps. ``docs`` is read twice."""
+def slots(docs: DataFrame, shard_col: str = "shard", id_col: str = "doc_id", seed: int = SEED, tie_cols: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``slot``: the place in its shard, from 0 without gaps, ordered by hashes of id and ``tie_cols``. ``docs`` is read twice."""
     n = buckets_for(docs.count())
-    hashed = F.xxhash64(F.lit(seed + 1), F.col(id_col))
+    hashed = F.xxhash64(F.lit(seed + 1), F.col(id_col), *[F.col(c) for c in tie_cols])
     rows = docs.drop("slot").withColumns({"_gl_hash": hashed, "_gl_bucket": F.pmod(hashed, F.lit(n)), "_gl_one": F.lit(1).cast("long")})
-    return exclusive_prefix(rows, shard_col, "_gl_bucket", ["_gl_hash", id_col], "_gl_one", "slot").drop("_gl_hash", "_gl_bucket", "_gl_one")
+    return exclusive_prefix(rows, shard_col, "_gl_bucket", ["_gl_hash", id_col, *tie_cols], "_gl_one", "slot").drop("_gl_hash", "_gl_bucket", "_gl_one")
 
 
 def rewrite(docs: DataFrame, old_col: str, out_dir: str, shards: int = NEW_SHARDS, **options) -> list[int]:
-    """Writes anew, as ``out_dir/shard=N``, the shards whose rows change and returns their numbers; the others' files can stay.
-
-    ``docs`` holds whole rows with ``text`` and ``old_col``; it is evaluated more than once."""
+    """Writes anew, in ``out_dir/shard=N``, the shards whose rows change and returns their numbers.
+
+    The files of the other shards stay untouched; the folders of shards that are no more go.
+    ``docs`` holds whole rows with ``text`` and ``old_col``, and may be read from ``out_dir``
+    itself: what is written is first a table in the scratch folder, from which it is brought
+    over without ``old_col``, so a failure leaves the rows there. Null ids, repeated rows and
+    clashing names are as in ``reshard``."""
+    spark = docs.sparkSession
     sized = docs.withColumn("_gl_size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1)
     placed = reshard(sized, old_col, "_gl_size", shards=shards, **options).drop("_gl_size")
+    placed = written(placed, "resharded")
     moved = placed.where(F.col(old_col) != F.col("shard")).groupBy(old_col, "shard").count().collect()  # at most old x new rows
     changed = sorted({r[0] for r in moved if r[0] < shards} | {r[1] for r in moved})
-    placed.where(F.col("shard").isin(changed)).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("overwrite").partitionBy("shard").parquet(out_dir)
+    rows = placed.where(F.col("shard").isin(changed)).repartition("shard", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(8)))
+    rows.drop(old_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(out_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = {r[0] for r in placed.select("shard").distinct().collect()}  # a row per shard
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("shard=") and int(name[6:]) not in full:
+            files.delete(status.getPath(), True)
     return changed
 
 
@@ -136,6 +152,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     Law ``bytes``. A null text has no bytes and the crc of none; a null id is hashed like
     any other value; repeated rows take a slot each."""
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(F.lit(SEED + 2), F.col("doc_id")), F.lit(OLD_SHARDS)).cast("int").alias("old_shard"))
-    placed = slots(written(reshard(written(docs, "shard-old"), "old_shard", "size"), "shard-new"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(F.lit(SEED + 2), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.crc32(text.cast("binary")))), F.lit(OLD_SHARDS)).cast("int").alias("old_shard"))
+    placed = slots(written(reshard(written(docs, "shard-old"), "old_shard", "size", tie_cols=("text_crc32",)), "shard-new"), tie_cols=("size", "text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
