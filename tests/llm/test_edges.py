@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm import html_extract as H
 from graphloom.llm import ngram_join, packing, sharding, substring, topk
 from graphloom.llm.common import written
 from graphloom.llm.components import components
@@ -170,3 +171,35 @@ def test_another_vocabulary_goes_through_the_library():
     assert own.merged is None
     for t, ids in zip(texts, own.many(texts), strict=True):
         assert np.array_equal(ids, [*own.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID])
+
+
+def test_deep_wide_and_broken_pages():
+    deep = "<div>" * 10_000 + "<p>core</p>" + "</div>" * 10_000
+    wide = "<ul>" + "".join(f"<li>item {i}</li>" for i in range(50_000)) + "</ul>"
+    mixed = "".join(f"<p>a{i}</p><div><b>b{i}</b><p>c</p></div>" for i in range(700))
+    for page, n in ((deep, 10_003), (wide, 50_003)):
+        tree, blocks = H.parse(page)
+        H._number(tree)
+        count, pairs = H.align(H.parse(page)[0], tree)
+        assert count == len(pairs) == n - 1 and all(a.tag == b.tag for a, b in pairs)
+        assert len(H.checked(page, tree)[0]) == len(blocks)
+    tree = H.parse(mixed)[0]
+    assert H.align(H.parse(mixed)[0], tree)[0] == 1 + 700 * 3
+    assert H.align(H.parse("<p>x</p>" + mixed[: len(mixed) // 2])[0], tree)[0] > 1000
+    assert [t for _, t in H.parse('a<a title="foo>bar')[1]] == ["abar"]  # a quote without an end ends with the tag
+    assert [t for _, t in H.parse("<p title='x\">y</p><p>z")[1]] in (["y", "z"], [])
+
+
+def test_templates_decide_without_names(spark, monkeypatch):
+    """Menus, adverts and lines at the foot that change from page to page, under no telling name, on small hosts."""
+    rng = random.Random(8)
+    pool = [" ".join(f"v{i}x{k}" for k in range(6)) for i in range(12)]
+    page = "<html><body><div><ul>{menu}</ul></div><div class='x'>{top}</div><div class='y'><h1>Title {i}</h1><p>Text {i}</p><p>More {i}</p></div><div class='z'>(c) {host} {end}</div></body></html>"
+    rows, want = [], {}
+    for i in range(48):
+        host = f"h{i % 6}.example"
+        menu = "".join(f"<li>{w}</li>" for w in rng.choice(pool).split())
+        rows.append((i, f"http://{host}/{i}", page.format(menu=menu, top=rng.choice(pool), end=rng.choice(pool), host=host, i=i)))
+        want[i] = f"Title {i}\n\nText {i}\n\nMore {i}"
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
