@@ -111,13 +111,28 @@ def path_score(distance: Column, most: int = 3) -> Column:
     return F.when(distance <= most, 1 - (distance - 1) * F.lit(step)).otherwise(0.0)
 
 
-def band(top: Column, entropy_: Column, none: Column, degree: Column, exemplar: float = 0.6, specialist: float = 0.4, bridge: float = 0.7, known: float = 0.15) -> Column:
-    """The first band that fits: exemplar, specialist, bridge, frontier, unknown."""
+# Fixed values of the bands: least weight and greatest entropy of a specialist; least weight and number of classes and
+# greatest none weight of a bridge; least weight of the frontier; first for weights that sum to 1, then for lifts.
+BANDS = {False: (0.30, 0.70, 0.15, 2, 0.40, 0.08), True: (5.0, 0.70, 2.5, 2, 999.0, 1.5)}
+
+
+def band(weights: Column, none: Column, classes: int, labelled: Column, abstain: Column, independent: bool = False, neighbours: Column | None = None) -> Column:
+    """The band of an account from its array of class weights: exemplar for labelled ones, then specialist, bridge, frontier, unknown.
+
+    ``independent``: weights are lifts, and a class counts for a bridge only with a labelled
+    neighbour in ``neighbours`` (an array in the order of the weights), if that is given."""
+    least, sure, bridge, several, most_none, known = BANDS[independent]
+    top = F.array_max(weights)
+    held = F.transform(weights, lambda w: w >= bridge)
+    if independent and neighbours is not None:
+        held = F.zip_with(held, neighbours, lambda a, n: a & (n >= 1))
+    h = entropy(F.transform(weights, lambda w: F.when(w > 1e-10, w).otherwise(0.0)), normalise=False, by=F.lit(classes))
     return (
-        F.when((top >= exemplar) & (entropy_ < 0.7) & (none < 0.5), "exemplar")
-        .when((top >= specialist) & (none < 0.5), "specialist")
-        .when((entropy_ >= bridge) & (none < 0.5), "bridge")
-        .when((top >= known) & (degree >= 2), "frontier")
+        F.when(labelled, "exemplar")
+        .when(abstain, "unknown")
+        .when((top >= least) & (h < sure), "specialist")
+        .when((F.size(F.filter(held, lambda a: a)) >= several) & (none < most_none), "bridge")
+        .when(top >= known, "frontier")
         .otherwise("unknown")
     )
 

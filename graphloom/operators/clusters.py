@@ -53,17 +53,20 @@ def local_metrics(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def strategy(metrics: DataFrame, tag_entropy: Column, bridge_ratio: Column) -> DataFrame:
-    """How to open a cluster; the first rule that holds."""
+def strategy(metrics: DataFrame, tag_entropy: Column, n_tags: Column, bridge_ratio: Column, has_children: Column) -> DataFrame:
+    """How to open a cluster of ``local_metrics``; the first rule that holds. The thresholds are fixed values."""
+    n = F.col("members")
+    varied = F.when(F.col("mean_degree") > 0, F.col("std_degree") / F.col("mean_degree")).otherwise(0.0) > 1.5
     rule = (
-        F.when(F.col("members") <= 12, "individuals")
-        .when(tag_entropy > 0.8, "tag_split")
-        .when(bridge_ratio > 0.3, "bridge_extraction")
-        .when(F.col("std_degree") > 1.5 * F.col("mean_degree"), "core_periphery")
-        .when(F.col("mutual_ratio") > 0.6, "mutual_components")
-        .when(F.col("density") > 0.3, "sample_individuals")
-        .when(F.col("members") > 500, "hierarchical")
-        .otherwise("louvain")
+        F.when(n <= 5, "individuals")
+        .when((tag_entropy > 1.5) & (n_tags >= 2), "tag_split")
+        .when((bridge_ratio > 0.2) & (n > 10), "bridge_extraction")
+        .when(varied & (n > 15), "core_periphery")
+        .when((F.col("density") > 0.1) & (F.col("mutual_ratio") > 0.3) & (n < 50), "mutual_components")
+        .when(F.col("n_edges") > F.floor(n / 2), "louvain")
+        .when(has_children, "hierarchical")
+        .when(n <= 20, "individuals")
+        .otherwise("sample_individuals")
     )
     return metrics.withColumn("strategy", rule)
 

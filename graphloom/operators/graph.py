@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +127,8 @@ def core_and_halo(edges: DataFrame, relevance: DataFrame, least: float) -> DataF
 def pagerank(edges: DataFrame, nodes: DataFrame, personal: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """PageRank (id, x) with restarts at ``personal`` (id, p; uniform if none); nodes without an out-edge give their mass to the restarts.
 
-    Stops when the L1 change is below nodes * tolerance; ``tolerance`` None runs all rounds."""
+    Stops when the L1 change is below nodes * tolerance, and raises a RuntimeError if ``rounds``
+    don't reach that; ``tolerance`` None runs all rounds."""
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(None).cast("double").alias("x"))
@@ -146,7 +149,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame, personal: DataFrame | None = No
         change = None if tolerance is None else new.join(x.withColumnRenamed("x", "y"), "id").agg(F.sum(F.abs(F.col("x") - F.col("y")))).first()[0]
         x = new
         if change is not None and change < n * tolerance:
-            break
+            return x
+    if tolerance is not None:
+        raise RuntimeError(f"no convergence in {rounds} rounds")
     return x
 
 
@@ -249,12 +254,12 @@ def harmonic(edges: DataFrame, anchors: DataFrame, nodes: DataFrame, prior: floa
 # -- distances and components -----------------------------------------------------------
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int, directed: bool = False) -> DataFrame:
-    """Hops (source, id, distance) from each source, level by level."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None, directed: bool = False) -> DataFrame:
+    """Hops (source, id, distance) from each source, level by level, up to ``most`` or as far as they reach."""
     steps = cut(edges.select("src", "dst").distinct() if directed else both_ways(edges))
     seen = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance"))
     front = seen
-    for hop in range(1, most + 1):
+    for hop in itertools.count(1) if most is None else range(1, most + 1):
         new = front.join(steps, front["id"] == steps["src"]).select("source", F.col("dst").alias("id")).distinct()
         front = cut(new.join(seen, ["source", "id"], "left_anti").withColumn("distance", F.lit(hop)))
         if front.isEmpty():
@@ -277,11 +282,11 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_node:
     return seen
 
 
-def components(edges: DataFrame, nodes: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, by least neighbours and pointer jumps until nothing moves."""
     pairs = cut(both_ways(edges))
     label = cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(most):
+    while True:
         near = pairs.join(label, pairs["dst"] == label["id"]).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
         hooked = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("to"))
@@ -289,19 +294,18 @@ def components(edges: DataFrame, nodes: DataFrame, most: int = 60) -> DataFrame:
         moved = new.join(label.withColumnRenamed("component", "old"), "id").where("component <> old").isEmpty()
         label = new
         if moved:
-            break
-    return label
+            return label
 
 
 # -- centrality and communities ---------------------------------------------------------
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame, most: int = 30) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Brandes over ``sources`` (all nodes for exact values), level-synchronous: (id, betweenness), directed, not scaled."""
     steps = cut(edges.where("src <> dst").select("src", "dst").distinct())
     level = sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma"))
     levels, seen = [cut(level)], level.select("s", "id")
-    for _ in range(most):
+    while True:
         new = levels[-1].join(steps, levels[-1]["id"] == steps["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
         new = cut(new.join(seen, ["s", "id"], "left_anti"))
         if new.isEmpty():

@@ -201,3 +201,20 @@ def aligned_factors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, float]
         out.append((i, j, float(s[i, j])))
         s[i, :], s[:, j] = -np.inf, -np.inf
     return out
+
+
+def discriminating(counts: DataFrame, clusters: DataFrame, top: int = 10, least: float = 0.15) -> DataFrame:
+    """Per cluster its ``top`` targets by mean count within over mean count elsewhere + 0.01: (cluster, target, score, rank).
+
+    ``counts``: (id, target, n), ``clusters``: (id, cluster). A target whose mean within is below
+    ``least`` times the cluster's share of all members scores 0. Ties go to the smaller target."""
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("s"))
+    everyone = clusters.agg(F.count(F.lit(1)).alias("everyone"))
+    held = counts.join(clusters, "id").groupBy("cluster", "target").agg(F.sum("n").alias("n"))
+    total = held.groupBy("target").agg(F.sum("n").alias("total"))
+    rows = held.join(total, "target").join(sizes.crossJoin(F.broadcast(everyone)), "cluster")  # one row
+    inside = F.col("n") / F.col("s")
+    outside = (F.col("total") - F.col("n")) / F.greatest(F.col("everyone") - F.col("s"), F.lit(1))
+    score = F.when(inside < F.lit(least) * F.col("s") / F.col("everyone"), 0.0).otherwise(inside / (outside + 0.01))
+    order = Window.partitionBy("cluster").orderBy(F.desc("score"), "target")
+    return rows.select("cluster", "target", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

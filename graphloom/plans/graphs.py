@@ -76,6 +76,12 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("c_mktsegment").alias("class"), F.col("c_nationkey").alias("id")).agg((F.sum("c_acctbal") / 100000).alias("w"))
 
 
+def _with_degree(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``deg``, the nation's partners that sell to it."""
+    degree = trade(spark, sf_dir).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
+    return rows.join(degree, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+
+
 @query(oracle("SELECT class, id, round(w, 6) AS w FROM bound", more=_BOUNDARY))
 def seed_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.boundary(_members(spark, sf_dir)).select("class", "id", F.round("w", 6).alias("w"))
@@ -83,18 +89,18 @@ def seed_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """SELECT id, round(max(w) FILTER (class <> 'none'), 6) AS top, round(coalesce(-sum(CASE WHEN w > 0 THEN w * ln(w) ELSE 0 END) / ln(6), 0), 6) AS entropy,
- CASE WHEN max(w) FILTER (class <> 'none') >= 0.25 THEN 'specialist' WHEN max(w) FILTER (class = 'none') < 0.5 THEN 'bridge' ELSE 'unknown' END AS band FROM bound GROUP BY 1""",
+        """SELECT id, round(top, 6) AS top, CASE WHEN id < 3 THEN 'exemplar' WHEN none >= 0.95 THEN 'unknown' WHEN top >= 0.30 AND entropy < 0.70 THEN 'specialist' WHEN several >= 2 AND none < 0.40 THEN 'bridge' WHEN top >= 0.08 THEN 'frontier' ELSE 'unknown' END AS band
+ FROM (SELECT id, max(w) FILTER (class <> 'none') AS top, max(w) FILTER (class = 'none') AS none, count(*) FILTER (class <> 'none' AND w >= 0.15) AS several, -sum(CASE WHEN class <> 'none' AND w > 1e-10 THEN w * ln(w) ELSE 0 END) / ln(5) AS entropy FROM bound GROUP BY 1)""",
         more=_BOUNDARY,
     )
 )
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands from the greatest membership, its entropy over all classes and the none weight."""
+    """Bands of five classes; the first three nations are labelled, those of hardly any class abstain."""
     rows = G.boundary(_members(spark, sf_dir))
     real = F.col("class") != "none"
-    got = rows.groupBy("id").agg(F.max(F.when(real, F.col("w"))).alias("top"), F.max(F.when(~real, F.col("w"))).alias("none"), F.collect_list("w").alias("ws"))
-    band = F.when(F.col("top") >= 0.25, "specialist").when(F.col("none") < 0.5, "bridge").otherwise("unknown")
-    return got.select("id", F.round("top", 6).alias("top"), F.round(S.entropy(F.col("ws"), normalise=False, by=F.lit(6)), 6).alias("entropy"), band.alias("band"))
+    got = rows.groupBy("id").agg(F.max(F.when(~real, F.col("w"))).alias("none"), F.collect_list(F.when(real, F.col("w"))).alias("ws"))
+    band = S.band(F.col("ws"), F.col("none"), 5, F.col("id") < 3, F.col("none") >= 0.95)
+    return got.select("id", F.round(F.array_max("ws"), 6).alias("top"), band.alias("band"))
 
 
 @query(oracle("SELECT src, dst, round(sum(n * CAST(CASE type WHEN 'signup' THEN 1.0 WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.3 WHEN 'purchase' THEN 0.6 END AS DOUBLE)), 6) AS w FROM typed WHERE type <> 'error' GROUP BY 1, 2", "typed"))
@@ -137,18 +143,13 @@ def harmonic_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.harmonic(trade(spark, sf_dir), anchors, n, rounds=ROUNDS, tolerance=None).select("id", F.round("p", 6).alias("p"))
 
 
-_THIN = {
-    "thin": "SELECT src, dst, n FROM purchases WHERE (src * 7 + dst) % 5 = 0",
-    "bothways": "SELECT src, dst FROM thin UNION SELECT dst, src FROM thin",
+_EDGES = {
+    "edges": "SELECT src, dst, n FROM purchases",
+    "bothways": "SELECT src, dst FROM edges UNION SELECT dst, src FROM edges",
     "users": "SELECT DISTINCT user_id AS id FROM events",
 }
 
 
-def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparser graph: the pairs of a role of their own."""
-    return purchases(spark, sf_dir).where("(src * 7 + dst) % 5 = 0")
-
-
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
 
@@ -160,9 +161,9 @@ def _bfs(most: int) -> dict[str, str]:
     return views
 
 
-@query(oracle("SELECT source, id, CAST(distance AS INTEGER) AS distance FROM b3", "purchases", more=_THIN | _bfs(3)))
+@query(oracle("SELECT source, id, CAST(distance AS INTEGER) AS distance FROM b3", "purchases", more=_EDGES | _bfs(3)))
 def hop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.distances(_thin(spark, sf_dir), _users(spark, sf_dir).where("id % 40 = 1"), 3)
+    return G.distances(purchases(spark, sf_dir), _users(spark, sf_dir).where("id % 40 = 1"), 3)
 
 
 @query(
@@ -171,12 +172,12 @@ def hop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT c.dst, 1 FROM users JOIN c ON c.src = id WHERE id % 40 = 1
  UNION ALL SELECT e.dst, 2 FROM users JOIN c ON c.src = id JOIN c e ON e.src = c.dst WHERE id % 40 = 1) GROUP BY 1""",
         "purchases",
-        more=_THIN | {"c": "SELECT DISTINCT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src, way ORDER BY dst) AS r FROM (SELECT src, dst, 'o' AS way FROM thin UNION SELECT dst, src, 'i' FROM thin)) WHERE r <= 5"},
+        more=_EDGES | {"c": "SELECT DISTINCT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src, way ORDER BY dst) AS r FROM (SELECT src, dst, 'o' AS way FROM edges UNION SELECT dst, src, 'i' FROM edges)) WHERE r <= 5"},
     )
 )
 def khop_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hops, five neighbours a node and direction."""
-    return G.neighbourhood(_thin(spark, sf_dir), _users(spark, sf_dir).where("id % 40 = 1"), 2, 5)
+    return G.neighbourhood(purchases(spark, sf_dir), _users(spark, sf_dir).where("id % 40 = 1"), 2, 5)
 
 
 @query(
@@ -184,37 +185,37 @@ def khop_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
         """SELECT id, component FROM (WITH RECURSIVE r(id, component) AS (SELECT id, id FROM users UNION SELECT e.dst, r.component FROM r JOIN e ON r.id = e.src)
  SELECT id, min(component) AS component FROM r GROUP BY 1)""",
         "purchases",
-        more={"users": _THIN["users"], "e": "SELECT a.src, a.dst FROM purchases a JOIN purchases b ON a.src = b.dst AND a.dst = b.src WHERE (a.src + a.dst) % 3 = 0"},
+        more={"users": _EDGES["users"], "e": "SELECT a.src, a.dst FROM purchases a JOIN purchases b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst"},
     )
 )
 def mutual_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = G.mutual(purchases(spark, sf_dir)).where("(src + dst) % 3 = 0")
+    edges = G.mutual(purchases(spark, sf_dir))
     return G.components(edges, _users(spark, sf_dir))
 
 
 @query(
     oracle(
-        """SELECT src, dst, round(1 / least(1.0, greatest(0.05, x.c * y.c / (SELECT avg(c) FROM k))), 6) AS w FROM thin JOIN k x ON x.id = src JOIN k y ON y.id = dst""",
+        """SELECT src, dst, round(1 / least(1.0, greatest(0.05, x.c * y.c / (SELECT avg(c) FROM k))), 6) AS w FROM edges JOIN k x ON x.id = src JOIN k y ON y.id = dst""",
         "purchases",
-        more=_THIN | {"k": "SELECT users.id, CASE WHEN users.id % 6 > 0 THEN least(1.0, greatest(0.05, coalesce(s.n, 0) / (users.id % 6 * 2))) ELSE 1.0 END AS c FROM users LEFT JOIN (SELECT src AS id, count(*) AS n FROM thin GROUP BY 1) s USING (id)"},
+        more=_EDGES | {"k": "SELECT users.id, CASE WHEN users.id % 6 > 0 THEN least(1.0, greatest(0.05, coalesce(s.n, 0) / (users.id % 6 * 2))) ELSE 1.0 END AS c FROM users LEFT JOIN (SELECT src AS id, count(*) AS n FROM edges GROUP BY 1) s USING (id)"},
     )
 )
 def observation_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _users(spark, sf_dir)
     expected = users.select("id", (F.col("id") % 6 * 2).alias("expected"))
-    return G.inverse_probability(_thin(spark, sf_dir).select("src", "dst"), expected, users, add_reverse=False).select("src", "dst", F.round("w", 6).alias("w"))
+    return G.inverse_probability(purchases(spark, sf_dir).select("src", "dst"), expected, users, add_reverse=False).select("src", "dst", F.round("w", 6).alias("w"))
 
 
-@query(oracle("SELECT id, max(c) = 1 AS is_core FROM (SELECT id, 1 AS c FROM users WHERE id % 10 / 10.0 >= 0.85 UNION ALL SELECT src, 0 FROM bothways JOIN users ON dst = id WHERE id % 10 / 10.0 >= 0.85) GROUP BY 1", "purchases", more=_THIN))
+@query(oracle("SELECT id, max(c) = 1 AS is_core FROM (SELECT id, 1 AS c FROM users WHERE id % 10 / 10.0 >= 0.85 UNION ALL SELECT src, 0 FROM bothways JOIN users ON dst = id WHERE id % 10 / 10.0 >= 0.85) GROUP BY 1", "purchases", more=_EDGES))
 def core_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _users(spark, sf_dir).select("id", (F.col("id") % 10 / 10).alias("r"))
-    return G.core_and_halo(_thin(spark, sf_dir), r, 0.85)
+    return G.core_and_halo(purchases(spark, sf_dir), r, 0.85)
 
 
-@query(oracle("SELECT src, dst, round(n * sqrt(greatest(src % 10 / 10.0, 0.01) * greatest(dst % 10 / 10.0, 0.01)), 6) AS w FROM thin", "purchases", more=_THIN))
+@query(oracle("SELECT src, dst, round(n * sqrt(greatest(src % 10 / 10.0, 0.01) * greatest(dst % 10 / 10.0, 0.01)), 6) AS w FROM edges", "purchases", more=_EDGES))
 def reweighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _users(spark, sf_dir).select("id", (F.col("id") % 10 / 10).alias("r"))
-    return G.reweighted(_thin(spark, sf_dir).withColumnRenamed("n", "w"), r, 0.01).select("src", "dst", F.round("w", 6).alias("w"))
+    return G.reweighted(purchases(spark, sf_dir).withColumnRenamed("n", "w"), r, 0.01).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 @query(
@@ -222,38 +223,38 @@ def reweighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         """SELECT tau, sum(CASE WHEN r >= tau THEN 1 ELSE 0 END)::BIGINT AS kept, round(sum(CASE WHEN r >= tau AND id % 7 = 0 THEN 1 ELSE 0 END) / sum(CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END), 6) AS recall,
  round(1 - sum(CASE WHEN r >= tau THEN 1 ELSE 0 END) / count(*), 6) AS compactness FROM entry, (SELECT unnest([0.25, 0.5, 0.75, 0.95])::DOUBLE AS tau) GROUP BY 1""",
         "purchases",
-        more=_THIN | {"entry": "SELECT id, max(r) AS r FROM (SELECT id, id % 10 / 10.0 AS r FROM users UNION ALL SELECT src, dst % 10 / 10.0 FROM bothways) GROUP BY 1"},
+        more=_EDGES | {"entry": "SELECT id, max(r) AS r FROM (SELECT id, id % 10 / 10.0 AS r FROM users UNION ALL SELECT src, dst % 10 / 10.0 FROM bothways) GROUP BY 1"},
     )
 )
 def threshold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _users(spark, sf_dir)
-    got = G.calibrated(users.select("id", (F.col("id") % 10 / 10).alias("r")), _thin(spark, sf_dir), users.where("id % 7 = 0"), [0.25, 0.5, 0.75, 0.95])
+    got = G.calibrated(users.select("id", (F.col("id") % 10 / 10).alias("r")), purchases(spark, sf_dir), users.where("id % 7 = 0"), [0.25, 0.5, 0.75, 0.95])
     return got.select("tau", "kept", F.round("recall", 6).alias("recall"), F.round("compactness", 6).alias("compactness"))
 
 
 @query(
     oracle(
-        "SELECT dst AS id, count(DISTINCT src) AS raw, round(least(1.0, count(DISTINCT src) / (SELECT count(*) FROM v)), 6) AS overlap FROM thin JOIN v ON src = via GROUP BY 1",
+        "SELECT dst AS id, count(DISTINCT src) AS raw, round(least(1.0, count(DISTINCT src) / (SELECT count(*) FROM v)), 6) AS overlap FROM edges JOIN v ON src = via GROUP BY 1",
         "purchases",
-        more=_THIN | {"v": "SELECT DISTINCT dst AS via FROM thin WHERE src % 40 = 1"},
+        more=_EDGES | {"v": "SELECT DISTINCT dst AS via FROM edges WHERE src % 40 = 1"},
     )
 )
 def neighbour_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbour_overlap(_thin(spark, sf_dir), _users(spark, sf_dir).where("id % 40 = 1")).select("id", "raw", F.round("overlap", 6).alias("overlap"))
+    return G.neighbour_overlap(purchases(spark, sf_dir), _users(spark, sf_dir).where("id % 40 = 1")).select("id", "raw", F.round("overlap", 6).alias("overlap"))
 
 
 @query(
     oracle(
         """SELECT id, round(0.4 * coalesce(o, 0) + 0.3 * least(1.0, d.n / 20.0) + 0.3 * CASE WHEN distance BETWEEN 1 AND 3 THEN 1 - (distance - 1) * 0.45 ELSE 0 END, 4) AS score
-FROM (SELECT dst AS id, count(*) AS n FROM thin GROUP BY 1) d LEFT JOIN (SELECT dst AS id, least(1.0, count(DISTINCT src) / (SELECT count(*) FROM v)) AS o FROM thin JOIN v ON src = via GROUP BY 1) USING (id)
+FROM (SELECT dst AS id, count(*) AS n FROM edges GROUP BY 1) d LEFT JOIN (SELECT dst AS id, least(1.0, count(DISTINCT src) / (SELECT count(*) FROM v)) AS o FROM edges JOIN v ON src = via GROUP BY 1) USING (id)
 LEFT JOIN (SELECT id, min(distance) AS distance FROM b3 GROUP BY 1) USING (id) WHERE id % 40 <> 1 ORDER BY score DESC, id LIMIT 30""",
         "purchases",
-        more=_THIN | {"v": "SELECT DISTINCT dst AS via FROM thin WHERE src % 40 = 1"} | _bfs(3),
+        more=_EDGES | {"v": "SELECT DISTINCT dst AS via FROM edges WHERE src % 40 = 1"} | _bfs(3),
     )
 )
 def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates near the seeds by overlap, followers and path, best first."""
-    edges, seeds = _thin(spark, sf_dir), _users(spark, sf_dir).where("id % 40 = 1")
+    edges, seeds = purchases(spark, sf_dir), _users(spark, sf_dir).where("id % 40 = 1")
     far = G.distances(edges, seeds, 3).groupBy("id").agg(F.min("distance").alias("distance"))
     known = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     rows = known.join(G.neighbour_overlap(edges, seeds), "id", "left").join(far, "id", "left").where("id % 40 <> 1")
@@ -264,21 +265,26 @@ def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From a sample of sources; a test holds all sources against a plain count of shortest paths."""
+    """From all sources; a test holds it against a plain count of shortest paths."""
     users = _users(spark, sf_dir)
-    return G.betweenness(_thin(spark, sf_dir), users, users.where("id % 5 = 0"))
+    return G.betweenness(purchases(spark, sf_dir), users, users)
+
+
+_LEVELS = 9
+_REACH = {"r0": "SELECT id AS source, id, 0 AS distance FROM users"} | {f"r{i}": f"SELECT * FROM r{i - 1} UNION ALL SELECT DISTINCT source, dst, {i} FROM r{i - 1} JOIN bothways ON id = src WHERE distance = {i - 1} AND NOT EXISTS (SELECT 1 FROM r{i - 1} x WHERE x.source = r{i - 1}.source AND x.id = dst)" for i in range(1, _LEVELS)}
 
 
 @query(
     oracle(
-        "SELECT source AS id, round(count(*) / ((SELECT count(*) FROM users) - 1) * count(*) / sum(distance), 6) AS closeness FROM b3 WHERE distance > 0 GROUP BY 1",
+        f"SELECT source AS id, round(count(*) / ((SELECT count(*) FROM users) - 1) * count(*) / sum(distance), 6) AS closeness FROM r{_LEVELS - 1} WHERE distance > 0 GROUP BY 1",
         "purchases",
-        more=_THIN | _bfs(3),
+        more=_EDGES | _REACH,
     )
 )
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all nodes, as far as paths reach; the SQL counts levels up to the diameter that the tables have."""
     users = _users(spark, sf_dir)
-    d = G.distances(_thin(spark, sf_dir), users.where("id % 40 = 1"), 3)
+    d = G.distances(purchases(spark, sf_dir), users)
     return G.closeness(d, users.count()).select("id", F.round("closeness", 6).alias("closeness"))
 
 
@@ -296,7 +302,7 @@ def eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities by local moving; a test compares modularity, since labels are not unique."""
-    edges = _thin(spark, sf_dir).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("n").cast("double").alias("w"))
+    edges = purchases(spark, sf_dir).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("n").cast("double").alias("w"))
     return G.louvain(edges)
 
 
@@ -304,11 +310,11 @@ def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle(
         """SELECT round((SELECT sum(w) FROM u WHERE a % 5 = b % 5) / sum(w) - (SELECT sum(k * k) FROM (SELECT id % 5 AS c, sum(w) AS k FROM (SELECT a AS id, w FROM u UNION ALL SELECT b, w FROM u) GROUP BY 1)) / (4 * sum(w) * sum(w)), 8) AS modularity FROM u""",
         "purchases",
-        more=_THIN | {"u": "SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(sum(n) AS DOUBLE) AS w FROM thin GROUP BY 1, 2"},
+        more=_EDGES | {"u": "SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(sum(n) AS DOUBLE) AS w FROM edges GROUP BY 1, 2"},
     )
 )
 def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _thin(spark, sf_dir).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("n").cast("double").alias("w"))
+    edges = purchases(spark, sf_dir).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("n").cast("double").alias("w"))
     return G.modularity(edges, _users(spark, sf_dir).select("id", (F.col("id") % 5).alias("community"))).select(F.round("modularity", 8).alias("modularity"))
 
 
@@ -351,13 +357,15 @@ def bootstrap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     oracle(
         """SELECT id, round((1 - none) * (1 - entropy) * top * least(1.0, ln(1 + deg) / ln(1 + (SELECT median(deg) FROM n))), 6) AS relevance FROM n""",
-        more=_BOUNDARY | {"n": "SELECT id, max(w) FILTER (class = 'none') AS none, max(w) FILTER (class <> 'none') AS top, -sum(CASE WHEN w > 0 THEN w * ln(w) ELSE 0 END) / ln(6) AS entropy, id + 1 AS deg FROM bound GROUP BY 1"},
+        "trade",
+        more=_BOUNDARY | {"n": "SELECT id, max(w) FILTER (class = 'none') AS none, max(w) FILTER (class <> 'none') AS top, -sum(CASE WHEN w > 0 THEN w * ln(w) ELSE 0 END) / ln(6) AS entropy, max(coalesce(k, 0)) AS deg FROM bound LEFT JOIN (SELECT dst AS id, count(*) AS k FROM trade GROUP BY 1) USING (id) GROUP BY 1"},
     )
 )
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = G.boundary(_members(spark, sf_dir))
     real = F.col("class") != "none"
-    got = rows.groupBy("id").agg(F.max(F.when(real, F.col("w"))).alias("top"), F.max(F.when(~real, F.col("w"))).alias("none"), F.collect_list("w").alias("ws")).withColumn("deg", F.col("id") + 1)
+    got = rows.groupBy("id").agg(F.max(F.when(real, F.col("w"))).alias("top"), F.max(F.when(~real, F.col("w"))).alias("none"), F.collect_list("w").alias("ws"))
+    got = _with_degree(spark, sf_dir, got)
     middle = got.agg(F.percentile("deg", F.lit(0.5)).alias("median"))
     value = S.relevance(F.col("none"), S.entropy(F.col("ws"), normalise=False, by=F.lit(6)), F.col("top"), F.col("deg"), F.col("median"))
     return got.crossJoin(F.broadcast(middle)).select("id", F.round(value, 6).alias("relevance"))  # one row
@@ -365,15 +373,17 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        "SELECT id, round(entropy * sqrt(greatest(id, 1)) * (1 - none), 6) AS info_value FROM n ORDER BY info_value DESC, id LIMIT 10",
-        more=_BOUNDARY | {"n": "SELECT id, max(w) FILTER (class = 'none') AS none, -sum(CASE WHEN w > 0 THEN w * ln(w) ELSE 0 END) / ln(6) AS entropy FROM bound GROUP BY 1"},
+        "SELECT id, round(entropy * sqrt(greatest(deg, 1)) * (1 - none), 6) AS info_value FROM n ORDER BY info_value DESC, id LIMIT 10",
+        "trade",
+        more=_BOUNDARY | {"n": "SELECT id, max(w) FILTER (class = 'none') AS none, -sum(CASE WHEN w > 0 THEN w * ln(w) ELSE 0 END) / ln(6) AS entropy, max(coalesce(k, 0)) AS deg FROM bound LEFT JOIN (SELECT dst AS id, count(*) AS k FROM trade GROUP BY 1) USING (id) GROUP BY 1"},
     )
 )
 def frontier_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where one more label tells most; the uncertainty is the entropy of the memberships."""
     rows = G.boundary(_members(spark, sf_dir))
     got = rows.groupBy("id").agg(F.max(F.when(F.col("class") == "none", F.col("w"))).alias("none"), F.collect_list("w").alias("ws"))
-    value = S.info_value(S.entropy(F.col("ws"), normalise=False, by=F.lit(6)), F.col("id"), F.col("none"))
+    got = _with_degree(spark, sf_dir, got)
+    value = S.info_value(S.entropy(F.col("ws"), normalise=False, by=F.lit(6)), F.col("deg"), F.col("none"))
     return got.select("id", F.round(value, 6).alias("info_value")).orderBy(F.desc("info_value"), "id").limit(10)
 
 

@@ -178,14 +178,14 @@ def relay_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TFIDF = {
-    "n": "SELECT doc_id AS row, term AS col, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents WHERE lang = 'es') GROUP BY 1, 2",
+    "n": "SELECT doc_id AS row, term AS col, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents) GROUP BY 1, 2",
     "df": "SELECT col, count(*) AS df FROM n GROUP BY 1",
     "w": "SELECT row, col, (1 + ln(n)) * (ln((1 + (SELECT count(DISTINCT row) FROM n)) / (1 + df)) + 1) AS w FROM n JOIN df USING (col)",
 }
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").where("lang = 'es'").select(F.col("doc_id").alias("row"), F.explode(R.tokens(F.col("text"))).alias("col"))
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), F.explode(R.tokens(F.col("text"))).alias("col"))
     return words.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -302,12 +302,56 @@ def soft_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.soft_memberships(rows).withColumn("p", F.round("p", 6))
 
 
-@query("SELECT l_linestatus AS kind, count(*) AS n, round(sum(CASE WHEN q >= m THEN 1 ELSE 0 END) / count(*), 6) AS above FROM (SELECT l_linestatus, l_quantity AS q, avg(l_quantity) OVER () AS m FROM lineitem) GROUP BY 1")
+_SPLIT = {
+    "z": "SELECT cluster, count(*) AS s, (SELECT count(*) FROM c) - count(*) AS others FROM c GROUP BY 1",
+    "k": "SELECT cluster, dst, sum(n) AS n FROM e JOIN c ON src = c.id GROUP BY 1, 2",
+    "t": "SELECT k.*, s, others, sum(n) OVER (PARTITION BY dst) - n AS elsewhere FROM k JOIN z USING (cluster)",
+}
+
+
+@query(
+    oracle(
+        """SELECT cluster, dst, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, dst) AS rank FROM
+ (SELECT cluster, dst, CASE WHEN n / s < 0.15 * s / (s + others) THEN 0 ELSE (n / s) / (elsewhere / greatest(others, 1) + 0.01) END AS score FROM t)) WHERE rank <= 10""",
+        "typed",
+        more=_CLUSTERS | _SPLIT,
+    )
+)
 def discriminating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each group above everyone's mean."""
-    rows = table(spark, sf_dir, "lineitem")
-    mean = rows.agg(F.avg("l_quantity").alias("m"))
-    return rows.crossJoin(F.broadcast(mean)).groupBy(F.col("l_linestatus").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("l_quantity") >= F.col("m")).cast("double")), 6).alias("above"))  # one row
+    """Targets that tell a cluster from the others."""
+    counts = typed(spark, sf_dir).where("type = 'signup'").select(F.col("src").alias("id"), F.col("dst").alias("target"), "n")
+    got = L.discriminating(counts, _clusters(spark, sf_dir), 10)
+    return got.select("cluster", F.col("target").alias("dst"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    oracle(
+        """SELECT cluster, members, CASE WHEN members <= 5 THEN 'individuals' WHEN h > 1.5 AND tags >= 2 THEN 'tag_split' WHEN bridges > 0.2 AND members > 10 THEN 'bridge_extraction' WHEN mean > 0 AND std / mean > 1.5 AND members > 15 THEN 'core_periphery'
+ WHEN density > 0.1 AND mutual > 0.3 AND members < 50 THEN 'mutual_components' WHEN edges > members // 2 THEN 'louvain' WHEN members % 2 = 0 THEN 'hierarchical' WHEN members <= 20 THEN 'individuals' ELSE 'sample_individuals' END AS strategy
+FROM (SELECT cluster, count(*) AS members, sum(d) AS edges, CASE WHEN count(*) > 1 THEN sum(d) / (count(*) * (count(*) - 1)) ELSE 0 END AS density, CASE WHEN sum(d) > 0 THEN sum(m) / sum(d) ELSE 0 END AS mutual, avg(d) AS mean, stddev_pop(d) AS std
+ FROM (SELECT c.cluster, c.id, count(i.dst) AS d, count(b.src) AS m FROM c LEFT JOIN i ON i.src = c.id LEFT JOIN i b ON b.src = i.dst AND b.dst = i.src GROUP BY 1, 2) GROUP BY 1)
+JOIN (SELECT cluster, -sum(p * log2(p)) AS h, count(*) AS tags FROM (SELECT cluster, n / sum(n) OVER (PARTITION BY cluster) AS p FROM g) GROUP BY 1) USING (cluster)
+JOIN (SELECT cluster, avg(CASE WHEN kinds >= 2 AND h / log2(kinds) > 0.7 THEN 1.0 ELSE 0.0 END) AS bridges FROM (SELECT cluster, id, count(*) AS kinds, -sum(p * log2(p)) AS h FROM (SELECT cluster, id, n / sum(n) OVER (PARTITION BY id) AS p FROM u) GROUP BY 1, 2) GROUP BY 1) USING (cluster)""",
+        "typed",
+        more=_CLUSTERS
+        | {
+            "i": "SELECT DISTINCT src, dst FROM e JOIN c x ON src = x.id JOIN c y ON dst = y.id WHERE x.cluster = y.cluster",
+            "u": "SELECT user_id % 7 AS cluster, user_id AS id, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3",
+            "g": "SELECT cluster, event_type, count(*) AS n FROM u WHERE event_type = 'error' OR n > 14 GROUP BY 1, 2",
+        },
+    )
+)
+def expansion_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How to open each cluster of users: tags are errors and what a user does often, memberships the shares of event types."""
+    clusters = _clusters(spark, sf_dir)
+    used = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"), "event_type").agg(F.count(F.lit(1)).alias("n")).join(clusters, "id")
+    tags = used.where("event_type = 'error' OR n > 14").groupBy("cluster", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    bits = lambda c: S.entropy(F.collect_list(c), base=2.0)
+    tagged = tags.groupBy("cluster").agg(bits("n").alias("tag_entropy"), F.count(F.lit(1)).alias("n_tags"))
+    shares = used.groupBy("cluster", "id").agg(bits("n").alias("h"), F.count(F.lit(1)).alias("kinds"))
+    bridge = F.when((F.col("kinds") >= 2) & (F.col("h") / F.log2("kinds") > 0.7), 1.0).otherwise(0.0)
+    rows = C.local_metrics(typed(spark, sf_dir).where("type = 'signup'"), clusters).join(tagged, "cluster").join(shares.groupBy("cluster").agg(F.avg(bridge).alias("bridge_ratio")), "cluster")
+    return C.strategy(rows, F.col("tag_entropy"), F.col("n_tags"), F.col("bridge_ratio"), F.col("members") % 2 == 0).select("cluster", "members", "strategy")
 
 
 @query("SELECT 'labels' AS problem, doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT 'splits', doc_id FROM documents GROUP BY doc_id HAVING count(DISTINCT doc_id % 3) > 1")

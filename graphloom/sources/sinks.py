@@ -40,13 +40,24 @@ def snapshot(tables: dict[str, DataFrame], path: str, **about) -> dict:
     return manifest
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, also one whose name Spark's listings leave out."""
+    fs, at = _fs(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def active(spark: SparkSession, path: str, name: str) -> DataFrame:
-    run = spark.read.text(f"{path}/_active").first()[0]
+    """A table of the run that the pointer names."""
+    run = read_text(spark, f"{path}/_active").strip()
     return spark.read.parquet(f"{path}/{run}/{name}")
 
 
 def merge_into(df: DataFrame, path: str, keys: list[str], first_wins: bool = False) -> None:
-    """Upsert (or insert what is new) into a Parquet table, which is written anew beside and then swapped in."""
+    """Upsert (or insert what is new) into a Parquet table, which is written anew beside and then swapped in; the old one goes last."""
     spark = df.sparkSession
     fs, at = _fs(spark, path)
     if fs.exists(at):
@@ -55,8 +66,12 @@ def merge_into(df: DataFrame, path: str, keys: list[str], first_wins: bool = Fal
     fresh = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(fresh)
     jp = spark._jvm.org.apache.hadoop.fs.Path
-    fs.delete(at, True)
-    fs.rename(jp(fresh), at)
+    old_at = jp(f"{fresh}.old")
+    if fs.exists(at) and not fs.rename(at, old_at):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(jp(fresh), at):
+        raise OSError(f"{fresh} can't be moved to {path}")
+    fs.delete(old_at, True)
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
