@@ -203,3 +203,27 @@ def test_templates_decide_without_names(spark, monkeypatch):
         want[i] = f"Title {i}\n\nText {i}\n\nMore {i}"
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_no_pair_at_the_threshold_is_left_to_chance(spark):
+    rng = random.Random(1)  # texts of 20 and 25 n-grams, 20 of them common; 18 bands of 5 hashes miss the pairs 623 and 808
+    pairs = [[f"w{rng.randrange(10**6)}" for _ in range(29)] for _ in range(900)]
+    rows = [(2 * i + k, " ".join(w[: 24 + 5 * k])) for i, w in enumerate(pairs) for k in (0, 1)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in rows}
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = random.Random(2)
+    for _ in range(3000):
+        n = rng.randrange(1, 40)
+        extra = [rng.randrange(n + 1) for _ in range(2)]
+        whole = rng.sample(range(10**6), n + sum(extra))
+        sets = [set(whole[:n] + whole[n : n + extra[0]]), set(whole[:n] + whole[n + extra[0] :])]
+        similarity = n / len(whole)
+        rarity = {g: rng.randrange(4) for g in whole}
+        prefixes = []
+        for x in sets:
+            most, k = (int(v[0]) for v in ngram_join.sampled(np.array([len(x)]), similarity))
+            prefixes.append(set(sorted(sorted(x)[:most], key=lambda g: (rarity[g], g))[:k]))
+        assert prefixes[0] & prefixes[1]
