@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import itertools
+import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Searches from many sources: sources times edges a task, tasks at most (each gets the edges), and edges of searches that a task holds at once.
+WORK = 20_000_000
+MOST_PARTS = 128
+HELD = 2_000_000
+
 
 # -- building ---------------------------------------------------------------------------
 
@@ -300,33 +308,114 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 # -- centrality and communities ---------------------------------------------------------
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Brandes over ``sources`` (all nodes for exact values), level-synchronous: (id, betweenness), directed, not scaled."""
+def _from_sources(edges: DataFrame, sources: DataFrame, kernel, columns: str) -> DataFrame:
+    """``kernel(ids, first, to, sources)`` over blocks of the sources, each beside all edges: ids in order, and by places in it where each node's heads start in ``to``.
+
+    Time is sources times edges, so that bounds a graph long before the memory that its edges take in a task does."""
     steps = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    level = sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma"))
-    levels, seen = [cut(level)], level.select("s", "id")
-    while True:
-        new = levels[-1].join(steps, levels[-1]["id"] == steps["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        new = cut(new.join(seen, ["s", "id"], "left_anti"))
-        if new.isEmpty():
-            break
-        levels.append(new)
-        seen = cut(seen.unionByName(new.select("s", "id")))
-    delta = levels[-1].select("s", "id", "sigma", F.lit(0.0).alias("delta"))
-    total = delta
-    for upper in reversed(levels[:-1]):
-        down = steps.join(delta.withColumnsRenamed({"id": "dst", "sigma": "sigma_w"}), "dst").select("s", F.col("src").alias("id"), ((1 + F.col("delta")) / F.col("sigma_w")).alias("part"))
-        delta = upper.join(down, ["s", "id"], "left").groupBy("s", "id").agg(F.first("sigma").alias("sigma"), F.sum("part").alias("part"))
-        delta = cut(delta.select("s", "id", "sigma", (F.col("sigma") * F.coalesce("part", F.lit(0.0))).alias("delta")))
-        total = total.unionByName(delta)
-    got = total.where("s <> id").groupBy("id").agg(F.sum("delta").alias("b"))
+    asked = cut(sources.select("id").where("id IS NOT NULL").distinct())
+    parts = max(1, min(MOST_PARTS, math.ceil(asked.count() * max(1, steps.count()) / WORK)))
+    copies = steps.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = copies.unionByName(asked.select(F.col("id").alias("src"), F.lit(None).cast(steps.schema["dst"].dataType).alias("dst"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_part")))
+
+    def of(part: pd.DataFrame) -> pd.DataFrame:
+        asks = part["dst"].isna().to_numpy()
+        src, dst, own = part["src"].to_numpy()[~asks], part["dst"].to_numpy()[~asks].astype(part["src"].dtype), part["src"].to_numpy()[asks]
+        ids = np.unique(np.concatenate([src, dst, own]))
+        src, dst, own = (np.searchsorted(ids, x) for x in (src, dst, own))
+        order = np.lexsort((dst, src))
+        return kernel(ids, np.searchsorted(src[order], np.arange(len(ids) + 1)), dst[order], own)
+
+    return rows.repartition(parts, "_part").groupBy("_part").applyInPandas(of, columns)
+
+
+def _search():
+    """Breadth-first search from several sources at once, nodes of the i-th one numbered from i * n on."""
+
+    def levels(first: np.ndarray, to: np.ndarray, sources: np.ndarray):
+        """(tails, heads, distinct heads) of the edges into each next level."""
+        n = len(first) - 1
+        front = np.arange(len(sources)) * n + sources
+        known = np.zeros(len(sources) * n, bool)
+        known[front] = True
+        while len(front):
+            node = front % n
+            degree = first[node + 1] - first[node]
+            tails = np.repeat(front, degree)
+            heads = to[np.arange(len(tails)) + np.repeat(first[node] - (degree.cumsum() - degree), degree)] + np.repeat(front - node, degree)
+            new = ~known[heads]
+            tails, heads = tails[new], heads[new]
+            if 8 * len(heads) < len(known):
+                front = np.unique(heads)
+            else:
+                mark = np.zeros(len(known), bool)
+                mark[heads] = True
+                front = np.flatnonzero(mark)
+            known[front] = True
+            if len(front):
+                yield tails, heads, front
+
+    def added(to: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+        if 8 * len(at) < len(to):
+            at, place = np.unique(at, return_inverse=True)
+            to[at] += np.bincount(place, values, len(at))
+        else:
+            to += np.bincount(at, values, len(to))
+
+    return levels, added
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Brandes over ``sources`` (all nodes for exact values), level by level: (id, betweenness), directed, not scaled."""
+    levels, added = _search()
+    held = HELD
+
+    def kernel(ids: np.ndarray, first: np.ndarray, to: np.ndarray, sources: np.ndarray) -> pd.DataFrame:
+        n, out = len(ids), np.zeros(len(ids))
+        step = max(1, held // (n + len(to) + 1))
+        for lo in range(0, len(sources), step):
+            own = sources[lo : lo + step]
+            start = np.arange(len(own)) * n + own
+            paths, delta, passed = np.zeros(len(own) * n), np.zeros(len(own) * n), []
+            paths[start] = 1
+            for tails, heads, _ in levels(first, to, own):
+                added(paths, heads, paths[tails])
+                passed.append((tails, heads))
+            while passed:
+                tails, heads = passed.pop()
+                added(delta, tails, paths[tails] / paths[heads] * (1 + delta[heads]))
+            delta[start] = 0
+            out += delta.reshape(len(own), n).sum(axis=0)
+        return pd.DataFrame({"id": ids[out > 0], "b": out[out > 0]})
+
+    kind = nodes.schema["id"].dataType.simpleString()
+    got = _from_sources(edges, sources, kernel, f"id {kind}, b double").groupBy("id").agg(F.sum("b").alias("b"))
     return nodes.select("id").join(got, "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
 
 
-def closeness(distance: DataFrame, n: int) -> DataFrame:
-    """From (source, id, distance) along edges reversed to reach in: reachable / (n - 1) * reachable / total distance."""
-    far = distance.where("distance > 0").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("r"), F.sum("distance").alias("t"))
-    return far.select("id", (F.col("r") / F.lit(max(1, n - 1)) * F.col("r") / F.col("t")).alias("closeness"))
+def reach(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """From each source along edges of either direction, as far as they reach: (id, r, t), nodes reached besides it and the sum of their distances."""
+    levels, _ = _search()
+    held = HELD
+
+    def kernel(ids: np.ndarray, first: np.ndarray, to: np.ndarray, sources: np.ndarray) -> pd.DataFrame:
+        n = len(ids)
+        r, t = np.zeros(len(sources), np.int64), np.zeros(len(sources), np.int64)
+        step = max(1, held // (n + len(to) + 1))
+        for lo in range(0, len(sources), step):
+            own = sources[lo : lo + step]
+            for hop, (_, _, front) in enumerate(levels(first, to, own), 1):
+                here = np.bincount(front // n, minlength=len(own))
+                r[lo : lo + step] += here
+                t[lo : lo + step] += hop * here
+        return pd.DataFrame({"id": ids[sources], "r": r, "t": t})
+
+    return _from_sources(both_ways(edges), sources, kernel, f"id {sources.schema['id'].dataType.simpleString()}, r long, t long")
+
+
+def closeness(reached: DataFrame, n: int) -> DataFrame:
+    """From (id, r, t) of ``reach``: reachable / (n - 1) * reachable / total distance, of nodes that reach any."""
+    return reached.where("r > 0").select("id", (F.col("r") / F.lit(max(1, n - 1)) * F.col("r") / F.col("t")).alias("closeness"))
 
 
 def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:

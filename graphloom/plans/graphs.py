@@ -284,8 +284,7 @@ _REACH = {"r0": "SELECT id AS source, id, 0 AS distance FROM users"} | {f"r{i}":
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all nodes, as far as paths reach; the SQL counts levels up to the diameter that the tables have."""
     users = _users(spark, sf_dir)
-    d = G.distances(purchases(spark, sf_dir), users)
-    return G.closeness(d, users.count()).select("id", F.round("closeness", 6).alias("closeness"))
+    return G.closeness(G.reach(purchases(spark, sf_dir), users), users.count()).select("id", F.round("closeness", 6).alias("closeness"))
 
 
 _EIGEN = {"e0": "SELECT id, 1.0::DOUBLE AS x FROM nations"}

@@ -105,6 +105,41 @@ def test_distances_components_betweenness(spark):
     assert b == pytest.approx({0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0, 7: 0})
 
 
+def test_searches_from_all_nodes_of_a_wide_graph_by_hand_and_without_rows_a_pair(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(G, "WORK", 2000)
+    monkeypatch.setattr(G, "HELD", 700)  # several tasks, several batches a task
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 40, (90, 2))} | {(50 + i, 51 + i) for i in range(30)}
+    nodes = range(90)
+    out = {v: [b for a, b in pairs if a == v != b] for v in nodes}
+    near = {v: {b for b in nodes if b in out[v] or v in out[b]} for v in nodes}
+    between, close = dict.fromkeys(nodes, 0.0), {}
+    for s in nodes:
+        order, distance, paths = [s], {s: 0}, dict.fromkeys(nodes, 0.0)
+        paths[s] = 1
+        for v in order:
+            for w in out[v]:
+                if w not in distance:
+                    distance[w] = distance[v] + 1
+                    order.append(w)
+                paths[w] += paths[v] * (distance[w] == distance[v] + 1)
+        share = dict.fromkeys(nodes, 0.0)
+        for v in reversed(order):
+            share[v] = sum(paths[v] / paths[w] * (1 + share[w]) for w in out[v] if distance[w] == distance[v] + 1)
+            between[v] += share[v] * (v != s)
+        far, front, hop = {s}, {s}, 0
+        total = 0
+        while front := {b for a in front for b in near[a]} - far:
+            hop, far = hop + 1, far | front
+            total += hop * len(front)
+        if total:
+            close[s] = (len(far) - 1) / (len(nodes) - 1) * (len(far) - 1) / total
+    e, n = frame(spark, sorted(pairs), "src long, dst long"), frame(spark, [(i,) for i in nodes], "id long")
+    monkeypatch.setattr(G, "distances", None)  # 81 million rows of pairs at 0.1 GB
+    assert {r.id: r.betweenness for r in G.betweenness(e, n, n).collect()} == pytest.approx(between)
+    assert {r.id: r.closeness for r in G.closeness(G.reach(e, n), len(nodes)).collect()} == pytest.approx(close)
+
+
 def test_louvain_finds_two_cliques(spark):
     edges = [(i, j, 1.0) for g in (range(5), range(5, 10)) for i in g for j in g if i < j] + [(4, 5, 1.0)]
     e = frame(spark, edges, "a long, b long, w double")
