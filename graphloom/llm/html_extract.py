@@ -12,9 +12,11 @@ varied slot.
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections.abc import Generator, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,8 +34,9 @@ REPEATED = 0.5
 BROADCAST_BYTES = 8 << 20
 SALTS = 16
 
-#: Pairs of siblings up to which all are compared.
-CELLS = 250_000
+#: Siblings from which a row of their table is an array; cells up to which a table is held whole. The results are the same on either side.
+WIDE = 48
+CELLS = 4_000_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|\"(?![^\"]*\")|'(?![^']*'))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -130,86 +133,136 @@ def _same(a: Node, b: Node) -> bool:
     return a.tag == b.tag and a.mark == b.mark
 
 
-def _units(kids: list[Node]) -> list[list[Node]]:
-    """Siblings, those in a row that are of one kind and have no kids together."""
-    out: list[list[Node]] = []
-    for x in kids:
-        if out and not x.kids and not out[-1][0].kids and _same(x, out[-1][0]):
-            out[-1].append(x)
-        else:
-            out.append([x])
+def _kinds(root: Node, known: dict[tuple, int], sizes: list[int]) -> dict[int, int]:
+    """A number for each element, equal for equal trees; ``sizes``: elements of a kind's tree."""
+    order, todo, out = [], [root], {}
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += node.kids
+    for node in reversed(order):
+        below = tuple([out[id(x)] for x in node.kids])
+        kind = known.setdefault((node.tag, node.mark, below), len(known))
+        if kind == len(sizes):
+            sizes.append(1 + sum(sizes[k] for k in below))
+        out[id(node)] = kind
     return out
 
 
-def _matching(a: Node, b: Node) -> Generator[tuple[Node, Node], tuple[int, tuple], tuple[int, tuple]]:
-    """Simple tree matching below two equal nodes; asks for the matchings of kids and returns (pairs, (a, b, what lies below))."""
-    if not a.kids or not b.kids:
-        return 1, (a, b, ())
-    xs, ys = ([[x] for x in y.kids] for y in (a, b))
-    if len(xs) * len(ys) > CELLS:
-        xs, ys = _units(a.kids), _units(b.kids)
-    n, m = len(xs), len(ys)
-    reach = m if n * m <= CELLS else max(16, CELLS // n)  # of very many kinds of siblings, those near the diagonal
-    below: dict[tuple[int, int], tuple] = {}
-    choice: list[tuple[int, bytearray]] = []  # 0 up, 1 left, 2 pair: a byte a cell
-    above, start = [0] * (m + 1), 0
-    for i, x in enumerate(xs):
-        low, high = max(0, i * m // n - reach), min(m, (i + 1) * m // n + reach)
-        row, chosen = [above[min(low, len(above) - 1 + start) - start] if low >= start else 0], bytearray(high - low)
-        for j in range(low, high):
-            up = above[min(j + 1 - start, len(above) - 1)]
-            best, way = (up, 0) if up >= row[-1] else (row[-1], 1)
-            y = ys[j]
-            if _same(x[0], y[0]):
-                if x[0].kids and y[0].kids:
-                    count, pairs = yield x[0], y[0]
-                    pairs = (pairs,)
-                else:
-                    count, pairs = min(len(x), len(y)), None
-                if above[min(j - start, len(above) - 1)] + count > best:
-                    best, way = above[min(j - start, len(above) - 1)] + count, 2
-                    if pairs:
-                        below[i, j] = pairs
+def _next(above, weights, choose: bool):
+    """The next row of the table of most pairs, and how each cell came about: 0 from above, 1 from the left, 2 by a pair. Narrow rows are lists, wide ones arrays."""
+    if isinstance(above, list):
+        row, ways = [0], bytearray(len(weights))
+        for j, weight in enumerate(weights):
+            up, left = above[j + 1], row[-1]
+            best, way = (up, 0) if up >= left else (left, 1)
+            if above[j] + weight > best:
+                best, way = above[j] + weight, 2
             row.append(best)
-            chosen[j - low] = way
-        choice.append((low, chosen))
-        above, start = row, low
-    i, j, found = n, m, []
-    while i and j:
-        low, chosen = choice[i - 1]
-        way = chosen[j - 1 - low] if low < j <= low + len(chosen) else 0 if j <= low else 1
-        if way == 2:
-            found += below.get((i - 1, j - 1)) or [(x, y, ()) for x, y in zip(xs[i - 1], ys[j - 1], strict=False)]
-            i, j = i - 1, j - 1
-        elif way == 0:
-            i -= 1
-        else:
-            j -= 1
-    return above[-1] + 1, (a, b, found)
+            ways[j] = way
+        return row, ways
+    paired = above[:-1] + weights
+    row = np.maximum.accumulate(np.append(0, np.maximum(above[1:], paired)))
+    if not choose:
+        return row, None
+    return row, np.where(paired > np.maximum(above[1:], row[:-1]), 2, row[:-1] > above[1:]).astype(np.uint8)
 
 
 def align(a: Node, b: Node) -> tuple[int, list]:
     """Simple tree matching: the most pairs of equal nodes that keep order and ancestry, below two equal nodes; (pairs, which).
 
-    Works on a stack of its own, so nesting may be as deep as it likes. Memory is a byte for
-    each pair of siblings. Of more than ``CELLS`` pairs, siblings of one kind in a row count as
-    one, and if they are still more, those near the diagonal are compared."""
-    stack, answer = [_matching(a, b)], None
-    while stack:
-        try:
-            asked = stack[-1].send(answer)
-            stack.append(_matching(*asked))
-            answer = None
-        except StopIteration as done:
-            stack.pop()
-            answer = done.value
-    n, tree = answer
-    pairs, todo = [], [tree]
+    Equal trees are matched whole, others once for each two kinds of them. Works on a stack of
+    its own, so nesting may be as deep as it likes. All pairs of siblings are compared, however
+    many; of a large table some rows are kept and those between made again, so memory grows
+    with its length and not with its area."""
+    known: dict[tuple, int] = {}
+    sizes: list[int] = []
+    kinds = _kinds(a, known, sizes) | _kinds(b, known, sizes)
+    counts: dict[tuple[int, int], int] = {}
+
+    def kind_of(x: Node) -> int:
+        return kinds[id(x)]
+
+    def weights(x: Node, y: Node):
+        """A function from the kids of x to their weights beside those of y."""
+        of = list(map(kind_of, y.kids))
+        each = {kind_of(k): k for k in y.kids}
+        index = {k: i for i, k in enumerate(each)}
+        at = None if len(of) < WIDE else np.array([index[k] for k in of])
+        rows: dict[int, object] = {}
+
+        def row(kid: Node):
+            own = kind_of(kid)
+            if own not in rows:
+                found = [0 if not _same(kid, k) else sizes[own] if kind == own else counts[own, kind] if kid.kids and k.kids else 1 for kind, k in each.items()]
+                rows[own] = [found[index[k]] for k in of] if at is None else np.array(found, np.int64)[at]
+            return rows[own]
+
+        return row
+
+    def start(y: Node):
+        return [0] * (len(y.kids) + 1) if len(y.kids) < WIDE else np.zeros(len(y.kids) + 1, np.int64)
+
+    def asked(x: Node, y: Node) -> list[tuple[Node, Node]]:
+        """Kids that both have kids, of each two kinds one pair that is still to be counted."""
+        theirs: dict[tuple[str, str], dict[int, Node]] = {}
+        for k in y.kids:
+            if k.kids:
+                theirs.setdefault((k.tag, k.mark), {})[kind_of(k)] = k
+        own = {kind_of(k): k for k in x.kids if k.kids}
+        return [(p, q) for i, p in own.items() for j, q in theirs.get((p.tag, p.mark), {}).items() if i != j and (i, j) not in counts]
+
+    todo = [(a, b, False)]
     while todo:
-        x, y, below = todo.pop()
+        x, y, ready = todo.pop()
+        key = kind_of(x), kind_of(y)
+        if key in counts:
+            continue
+        if key[0] == key[1]:
+            counts[key] = sizes[key[0]]
+        elif not ready:
+            todo.append((x, y, True))
+            todo += [(p, q, False) for p, q in asked(x, y)]
+        else:
+            row, of = start(y), weights(x, y)
+            for kid in x.kids:
+                row = _next(row, of(kid), False)[0]
+            counts[key] = int(row[-1]) + 1
+
+    pairs, matched = [], [(a, b)]
+    while matched:
+        x, y = matched.pop()
         pairs.append((x, y))
-        todo += below
-    return n, pairs
+        if kind_of(x) == kind_of(y):
+            matched += zip(x.kids, y.kids, strict=True)
+            continue
+        i, j = len(x.kids), len(y.kids)
+        if not i or not j:
+            continue
+        of = weights(x, y)
+        step = i if i * j <= CELLS else math.isqrt(i) + 1
+        kept = [start(y)]
+        row = kept[0]
+        for n, kid in enumerate(x.kids[: (i - 1) // step * step], 1):
+            row = _next(row, of(kid), False)[0]
+            if n % step == 0:
+                kept.append(row)
+        while i and j:
+            low = (i - 1) // step * step
+            row, ways = kept[low // step], []
+            for kid in x.kids[low:i]:
+                row, way = _next(row, of(kid), True)
+                ways.append(way)
+            while i > low and j:
+                way = ways[i - 1 - low][j - 1]
+                if way == 2:
+                    i, j = i - 1, j - 1
+                    matched.append((x.kids[i], y.kids[j]))
+                elif way == 0:
+                    i -= 1
+                else:
+                    j -= 1
+    return counts[kind_of(a), kind_of(b)], pairs
 
 
 def _number(root: Node) -> None:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -242,3 +243,21 @@ def test_simple_tree_matching(a, b):
 
 def test_crc_and_window_constants():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) >= 0 and math.log2(packing.WINDOW) == 12
+
+
+@pytest.mark.parametrize("cells", [None, 50])
+def test_alignment_compares_all_siblings_of_wide_pages(monkeypatch, cells):
+    rng = random.Random(4)
+    if cells:  # rows between kept ones are made again
+        monkeypatch.setattr(H, "CELLS", cells)
+    for n, m in ((700, 650), (40, 700), (700, 30)) if not cells else ((60, 70), (20, 9), (9, 90)):
+        xs, ys = ([(rng.choice("abc"), rng.randrange(3)) for _ in range(k)] for k in (n, m))
+        trees = [H.parse("".join(f"<div class={c}>{'<h2></h2>' * i}</div>" for c, i in side))[0] for side in (xs, ys)]
+        above = [0] * (m + 1)
+        for c, i in xs:
+            row = [0]
+            for j, (d, k) in enumerate(ys):
+                row.append(max(row[-1], above[j + 1], above[j] + (1 + min(i, k) if c == d else 0)))
+            above = row
+        count, pairs = H.align(*trees)
+        assert count == above[-1] + 1 == len(pairs) and all(x.tag == y.tag and x.mark == y.mark for x, y in pairs)
