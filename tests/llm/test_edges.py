@@ -227,3 +227,21 @@ def test_prefixes_of_similar_sets_meet():
             most, k = (int(v[0]) for v in ngram_join.sampled(np.array([len(x)]), similarity))
             prefixes.append(set(sorted(sorted(x)[:most], key=lambda g: (rarity[g], g))[:k]))
         assert prefixes[0] & prefixes[1]
+
+
+def test_passages_of_the_least_length_are_found_where_pieces_of_them_are_frequent(spark, monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows, holders = [], []
+    passages = [words(50) for _ in range(12)]
+    for passage in passages:  # pieces too short to count, in documents before those that hold the whole
+        for _ in range(10):
+            for at in (0, 1):
+                rows.append((len(rows), " ".join(words(60) + passage[at : at + 49] + words(60))))
+    for passage in passages:
+        pair = len(rows), len(rows) + 1
+        holders.append(pair)
+        rows += [(i, " ".join(words(70) + passage + words(70))) for i in pair]
+    monkeypatch.setattr(substring, "FEW", 4)
+    found = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.match_doc_id, r.doc_id) for r in found if r.start <= 70 and r.start + r.n_words >= 120} == set(holders)
