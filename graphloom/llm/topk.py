@@ -84,7 +84,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, candidate_block: int =
     their ranks only. Equal scores go to the smaller id; a repeated candidate row is a candidate
     each time. No rows give no rows. Components so large that a score could pass 64 bits raise a
     ValueError."""
-    queries = queries.select("vec_id", "_v").distinct()
+    # a table, so that a query's constant id is not folded into the cogroup, which then loses columns
+    queries = written(queries.select("vec_id", "_v").distinct(), "queries")
     limits = [df.agg(F.max(F.array_max(F.transform("_v", lambda c: F.abs(c)))), F.max(F.size("_v"))).first() for df in (vectors, queries)]
     (big, wide), (most, width) = ((int(r[0] or 0), int(r[1] or 0)) for r in limits)
     if big * most * max(wide, width) >= 1 << 62:
