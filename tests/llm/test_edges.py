@@ -1,7 +1,9 @@
 """Chains, repeats, hot tokens and odd layouts, against brute force."""
 
+import os
 import random
 import re
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -245,3 +247,42 @@ def test_passages_of_the_least_length_are_found_where_pieces_of_them_are_frequen
     monkeypatch.setattr(substring, "FEW", 4)
     found = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.match_doc_id, r.doc_id) for r in found if r.start <= 70 and r.start + r.n_words >= 120} == set(holders)
+
+
+def _tables_left(spark, before):
+    """Names of the scratch tables that are there now and not before, with how often each is."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    names = [x.split("-", 1)[1].rsplit("-", 1)[0] for x in os.listdir(folder) if x.startswith("graphloom-") and x not in before]
+    return sorted(names)
+
+
+def _near(n, words=120):
+    """Documents of which each third is a near copy of the one before."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(n):
+        ws = [f"w{rng.randrange(4000)}" for _ in range(words)] if i % 3 or not i else texts[-1].split()[:-1] + [f"x{i}"]
+        texts.append(" ".join(ws))
+    return list(enumerate(texts))
+
+
+def test_shuffles_of_a_written_table_go_with_it(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if re.match(r"shuffle_\d+_\d+_\d+\.data", f)}
+    before, asked = files(), spark.conf.get(setting := "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    got = written(spark.range(0, 20_000, 1, 4).withColumn("k", F.col("id") % 100).groupBy("k").agg(F.collect_list("id").alias("all")), "grouped")
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert got.selectExpr("sum(size(all))").first()[0] == 20_000
+    assert spark.conf.get(setting) == asked
+
+
+def test_the_passages_are_all_that_stays_of_their_search(spark):
+    before = set(os.listdir(folder)) if os.path.isdir(folder := spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) else set()
+    found = substring.repeats(spark.createDataFrame(_near(30), "doc_id long, text string"))
+    assert _tables_left(spark, before) == ["found"]
+    assert {(r.doc_id, r.match_doc_id, r.start, r.n_words) for r in found.collect()} == {(i, i - 1, 0, 119) for i in range(3, 30, 3)}
