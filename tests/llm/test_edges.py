@@ -281,6 +281,15 @@ def test_shuffles_of_a_written_table_go_with_it(spark):
     assert spark.conf.get(setting) == asked
 
 
+def test_the_ngram_join_keeps_no_samples_beyond_their_use(spark):
+    before = set(os.listdir(folder)) if os.path.isdir(folder := spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) else set()
+    joined = ngram_join.join(spark.createDataFrame(_near(60), "doc_id long, text string"))
+    left = _tables_left(spark, before)
+    assert set(left) <= {"keys", "classes", "links", "roots", "edges"} and len(left) <= 5, left
+    got = {r.doc_id: (r.class_id, r.n_links) for r in joined.collect()}
+    assert all(got[i] == (i - 1, 1) for i in range(3, 60, 3)) and got[1] == (1, 0)
+
+
 def test_the_passages_are_all_that_stays_of_their_search(spark):
     before = set(os.listdir(folder)) if os.path.isdir(folder := spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) else set()
     found = substring.repeats(spark.createDataFrame(_near(30), "doc_id long, text string"))
